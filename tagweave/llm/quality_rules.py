@@ -23,7 +23,7 @@ END_MARK = r"""[.!?:;…。！？"'”’»)\]]\s*$"""
 SYMBOLS = r"[*&%$#@^~|<>{}\[\]\\=_+•»«]"
 NAVIGATION = r"(^|\S\s+)[|»›•>]\s+\S[^|»›•>]*\s[|»›•>](\s|$)"
 MENU = r"^\s*(home|menu|next|previous|login|log in|sign in|sign up|register|search|contact us|about us|read more|share|back to top|skip to content)\s*$"
-BOILERPLATE = r"(all rights reserved|cookie policy|accept cookies|enable javascript|javascript is (disabled|required)|terms of (use|service)|privacy policy|lorem ipsum|subscribe to our newsletter|licensed under (the|cc)|copyright (\(c\)|©))"
+BOILERPLATE = r"(all rights reserved|cookie policy|accept cookies|enable javascript|javascript is (disabled|required)|terms of (use|service)|privacy policy|lorem ipsum|subscribe to our newsletter)"
 SHOUTED = r"\S*!!+(\s|$)"
 
 RULES = ("punctuation", "symbols", "shouting", "navigation", "boilerplate")
