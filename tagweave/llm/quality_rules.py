@@ -13,33 +13,40 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 MIN_KEPT = 0.5
-#: A line of so many words or more needs an end mark; short lines may be titles.
+#: A line of so many words or more needs a mark of a sentence's end; short lines may be titles.
 LONG_LINE_WORDS = 12
+MAX_REPEAT_RATIO = 0.3
 MAX_SYMBOL_RATIO = 0.1
 MAX_SHOUT_RATIO = 0.5
 
 # The patterns mean the same in Java's and RE2's syntax.
-END_MARK = r"""[.!?:;…。！？"'”’»)\]]\s*$"""
+END_MARK = r"""([.!?…]["'”’»)\]]*(\s|$)|[。！？]|[:;]\s*$)"""
 SYMBOLS = r"[*&%$#@^~|<>{}\[\]\\=_+•»«]"
 NAVIGATION = r"(^|\S\s+)[|»›•>]\s+\S[^|»›•>]*\s[|»›•>](\s|$)"
 MENU = r"^\s*(home|menu|next|previous|login|log in|sign in|sign up|register|search|contact us|about us|read more|share|back to top|skip to content)\s*$"
 BOILERPLATE = r"(all rights reserved|cookie policy|accept cookies|enable javascript|javascript is (disabled|required)|terms of (use|service)|privacy policy|lorem ipsum|subscribe to our newsletter)"
 SHOUTED = r"\S*!!+(\s|$)"
 
-RULES = ("punctuation", "symbols", "shouting", "navigation", "boilerplate")
+RULES = ("punctuation", "repetition", "symbols", "shouting", "navigation", "boilerplate")
 
 
 def _count(line: Column, pattern: str) -> Column:
     return F.length(line) - F.length(F.regexp_replace(line, pattern, ""))
 
 
-def failures(line: Column) -> dict[str, Column]:
-    """For each rule whether a line (not blank) fails it."""
-    n_words = F.size(F.split(F.trim(line), r"\s+"))
+def line_words(line: Column) -> Column:
+    return F.split(F.trim(line), r"\s+")
+
+
+def failures(line: Column, words: Column) -> dict[str, Column]:
+    """For each rule whether a line (not blank) of these words fails it."""
+    n_words = F.size(words)
+    again = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))
     visible = F.length(F.regexp_replace(line, r"\s", ""))
     low = F.lower(line)
     return {
         "punctuation": (n_words >= LONG_LINE_WORDS) & ~line.rlike(END_MARK),
+        "repetition": again > MAX_REPEAT_RATIO * n_words,
         "symbols": _count(line, SYMBOLS) > MAX_SYMBOL_RATIO * visible,
         "shouting": _count(line, SHOUTED) > MAX_SHOUT_RATIO * F.length(line),
         "navigation": line.rlike(NAVIGATION) | low.rlike(MENU),
@@ -47,9 +54,9 @@ def failures(line: Column) -> dict[str, Column]:
     }
 
 
-def line_passes(line: Column) -> Column:
+def line_passes(line: Column, words: Column) -> Column:
     bad = F.lit(False)
-    for x in failures(line).values():
+    for x in failures(line, words).values():
         bad = bad | x
     return ~bad
 
@@ -65,7 +72,10 @@ def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT, text_col: str = "te
     lines_in, lines_kept, parts, kept = fresh(docs, "lines_in", "lines_kept", "parts", "kept")
     text = docs[f"`{text_col}`"]
     blank = lambda x: F.trim(F.regexp_replace(x, r"\s", "")) == ""
-    judged = docs.withColumn(parts, F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), blank(x).alias("blank"), (blank(x) | line_passes(x)).alias("ok"))))
+    split = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), blank(x).alias("blank"), line_words(x).alias("words")))
+    judge = lambda x: F.struct(x["line"].alias("line"), x["blank"].alias("blank"), (x["blank"] | line_passes(x["line"], x["words"])).alias("ok"))
+    # a generator of one row, which Catalyst doesn't push filters through: else lines would be judged twice
+    judged = docs.select("*", F.explode(F.array(F.transform(split, judge))).alias(parts))
     length = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(x["blank"], 0).otherwise(F.length(x["line"])))
     judged = judged.withColumn(kept, F.filter(parts, lambda x: x["ok"]))
     judged = judged.where((length(F.col(parts)) > 0) & (length(F.col(kept)) >= min_kept * length(F.col(parts))))
@@ -95,11 +105,12 @@ WITH l AS (
 ),
 j AS (
   SELECT *, regexp_replace(line, '\\s', '', 'g') = '' AS blank,
-    NOT ((len(regexp_split_to_array(trim(line), '\\s+')) >= {LONG_LINE_WORDS} AND NOT regexp_matches(line, {_q(END_MARK)}))
+    NOT ((len(w) >= {LONG_LINE_WORDS} AND NOT regexp_matches(line, {_q(END_MARK)}))
+      OR len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > {MAX_REPEAT_RATIO} * len(w)
       OR {_sql_count(SYMBOLS)} > {MAX_SYMBOL_RATIO} * length(regexp_replace(line, '\\s', '', 'g'))
       OR {_sql_count(SHOUTED)} > {MAX_SHOUT_RATIO} * length(line)
       OR regexp_matches(line, {_q(NAVIGATION)}) OR regexp_matches(lower(line), {_q(MENU)}) OR regexp_matches(lower(line), {_q(BOILERPLATE)})) AS ok
-  FROM l
+  FROM (SELECT *, regexp_split_to_array(trim(line), '\\s+') AS w FROM l)
 ),
 g AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE ok OR blank), '') AS text,
