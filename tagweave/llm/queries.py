@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import line_dedup, quality_rules, simhash_dedup, url_filters
+from . import line_dedup, quality_rules, sentencepiece_codec, simhash_dedup, url_filters
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2,
     "op3_quality_rules": quality_rules.op3,
+    "op5_sentencepiece": sentencepiece_codec.op5,
     "op6_url_filters": url_filters.op6,
     "op8_simhash_dedup": simhash_dedup.op8,
     "pipeline": corpus_pipeline.run,
