@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import shared_dir
 from tagweave.llm.line_dedup import dedup_lines
 from tagweave.llm.quality_rules import clean_lines
+from tagweave.llm.sentencepiece_codec import encode
 from tagweave.llm.simhash_dedup import simhash_survivors
+from tagweave.llm.source_mixing import SHARD_SLOTS, mix_sources
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,10 +42,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_survivors(docs.select(*COLUMNS))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of the sources, in the shares of the target weights; doc_id is the slot's number in the mixture."""
+    out = mix_sources(docs.select(*COLUMNS))
+    return _documents(out.withColumn("doc_id", F.col("shard") * SHARD_SLOTS + F.col("slot")))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents and ids, n_tokens, decoded."""
+    return encode(docs.select(*COLUMNS))
+
+
 STAGES = [
     ("quality rules", quality),
     ("line dedup", lines),
     ("SimHash near-dedup", near_duplicates),
+    ("mixing sources", mixture),
+    ("SentencePiece", token_ids),
 ]
 
 ORACLE_SQL = None

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
+#: What Java's \s means, and Python's under re.ASCII.
+SPACE = " \t\n\r\f\v"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import batch_of, cut, fresh, mix64, pick
+from .common import SPACE, batch_of, cut, fresh, mix64, pick
 
 MIN_CHARS = 10
 KEYS_PER_BUCKET = 2_000_000
@@ -115,7 +115,7 @@ def _rebuild(text: pd.Series, at: pd.Series, h: pd.Series) -> pd.Series:
         kept = set(zip(kept_at, kept_h)) if kept_at is not None else set()
         out = []
         for i, x in enumerate(t.split("\n")):
-            if not x.split() or (i, _signed(xxhash.xxh64_intdigest(x.encode(), seed=42))) in kept:
+            if not x.strip(SPACE) or (i, _signed(xxhash.xxh64_intdigest(x.encode(), seed=42))) in kept:
                 out.append(x)
         return "\n".join(out)
 

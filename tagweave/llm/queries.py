@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import line_dedup, quality_rules, sentencepiece_codec, simhash_dedup, url_filters
+from . import license_scan, line_dedup, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, url_filters
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1,
     "op2_line_dedup": line_dedup.op2,
     "op3_quality_rules": quality_rules.op3,
     "op5_sentencepiece": sentencepiece_codec.op5,
     "op6_url_filters": url_filters.op6,
     "op8_simhash_dedup": simhash_dedup.op8,
+    "op10_source_mixing": source_mixing.op10,
     "pipeline": corpus_pipeline.run,
 }
 
