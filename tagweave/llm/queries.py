@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import license_scan, line_dedup, quality_rules, sentencepiece_codec, simhash_dedup, source_mixing, url_filters
+from . import license_scan, line_dedup, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, source_mixing, url_filters
 
 QUERIES = {
     "op1_license_scan": license_scan.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_sentencepiece": sentencepiece_codec.op5,
     "op6_url_filters": url_filters.op6,
     "op8_simhash_dedup": simhash_dedup.op8,
+    "op9_secret_scan": secret_scan.op9,
     "op10_source_mixing": source_mixing.op10,
     "pipeline": corpus_pipeline.run,
 }
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op6_url_filters": url_filters.OP6_SQL,
+    "op9_secret_scan": secret_scan.OP9_SQL,
 }
