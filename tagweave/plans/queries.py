@@ -80,18 +80,21 @@ CONNS = f"""conns AS (
 
 
 def _nearest(k: int) -> str:
-    return f"""near{k} AS (
+    return f"""near{k} AS MATERIALIZED (
   SELECT page, seg_id, arg_min(ord, (dist, ord)) AS ord FROM (
     SELECT g.page, g.seg_id, s.ord, sqrt(power(greatest(s.x - g.x{k}, 0, g.x{k} - (s.x + s.w)), 2) + power(greatest(s.y - g.y{k}, 0, g.y{k} - (s.y + s.h)), 2)) AS dist
-    FROM some_seg g JOIN sym s ON s.page = g.page AND g.x{k} BETWEEN s.x - 20 AND s.x + s.w + 20 AND g.y{k} BETWEEN s.y - 20 AND s.y + s.h + 20
+    FROM seg g JOIN box_cells s ON s.page = g.page AND s.cx = CAST(floor(g.x{k} / 64) AS BIGINT) AND s.cy = CAST(floor(g.y{k} / 64) AS BIGINT)
   ) WHERE dist < 20 GROUP BY page, seg_id
 )"""
 
 
-EDGES = f"""some_seg AS (SELECT * FROM seg),
+EDGES = f"""box_cells AS MATERIALIZED (
+  SELECT page, ord, x, y, w, h, cx, unnest(range(greatest(0, y - 20) // 64, (y + h + 20) // 64 + 1)) AS cy
+  FROM (SELECT page, ord, x, y, w, h, unnest(range(greatest(0, x - 20) // 64, (x + w + 20) // 64 + 1)) AS cx FROM sym)
+),
 {_nearest(1)},
 {_nearest(2)},
-edges AS (SELECT DISTINCT page, least(a.ord, b.ord) AS a, greatest(a.ord, b.ord) AS b FROM near1 a JOIN near2 b USING (page, seg_id) WHERE a.ord <> b.ord)"""
+edges AS MATERIALIZED (SELECT DISTINCT page, least(a.ord, b.ord) AS a, greatest(a.ord, b.ord) AS b FROM near1 a JOIN near2 b USING (page, seg_id) WHERE a.ord <> b.ord)"""
 PLACED = f"""{NAMED},
 placed AS (SELECT *, page * 1099511627776 + ord AS place FROM nodes)"""
 
@@ -135,7 +138,7 @@ merged AS (
   FROM paged GROUP BY name
 ),
 {EDGES},
-drawn AS (SELECT DISTINCT least(p.tag, q.tag) AS a, greatest(p.tag, q.tag) AS b FROM edges e JOIN nodes p ON p.page = e.page AND p.ord = e.a JOIN nodes q ON q.page = e.page AND q.ord = e.b)"""
+drawn AS MATERIALIZED (SELECT DISTINCT least(p.tag, q.tag) AS a, greatest(p.tag, q.tag) AS b FROM edges e JOIN nodes p ON p.page * 1099511627776 + p.ord = e.page * 1099511627776 + e.a JOIN nodes q ON q.page * 1099511627776 + q.ord = e.page * 1099511627776 + e.b)"""
 
 
 # -- the graph against the procedures
@@ -384,7 +387,7 @@ def _(spark, d):
     return edge_table(spark, d)
 
 
-@query("graph_edges", "SELECT DISTINCT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b FROM edges e JOIN paged2 p ON p.page = e.page AND p.ord = e.a JOIN paged2 q ON q.page = e.page AND q.ord = e.b", "sym seg", f"{COMPOSED}, paged2 AS (SELECT page, ord, name AS label FROM paged)")
+@query("graph_edges", "SELECT DISTINCT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b FROM edges e JOIN paged2 p ON p.page * 1099511627776 + p.ord = e.page * 1099511627776 + e.a JOIN paged2 q ON q.page * 1099511627776 + q.ord = e.page * 1099511627776 + e.b", "sym seg", f"{COMPOSED}, paged2 AS (SELECT page, ord, name AS label FROM paged)")
 def _(spark, d):
     return composed(spark, d)[1]
 
