@@ -180,7 +180,8 @@ def near_pairs(rec: np.ndarray, max_bits: int, max_pair_bits: int) -> tuple[np.n
     """Ids of verified pairs among the records of a bucket, as stars."""
     code = golay()
     ids, at = np.unique(rec["id"], return_index=True)
-    lo, hi, pairs = rec["lo"][at], rec["hi"][at], rec["pairs"][at]
+    lo, hi = rec["lo"][at], rec["hi"][at]
+    pairs = rec["pairs"][at].view(np.uint64)  # bits are counted of absolute values
     local = np.searchsorted(ids, rec["id"])
     keys, who = [], []
     seg = segments_of(lo, hi)
