@@ -126,19 +126,9 @@ def scan_text(text: str, tokens: list[int], hits: list[tuple[int, int, int]], in
     spans = None
     out = []
     for t, diagonals in by.items():
-        found: list[tuple[int, int, int]] = []
-        diagonals = sorted(set(diagonals))
-        # runs of diagonals within the band of each other's start are one candidate
-        k = 0
-        while k < len(diagonals):
-            e = k
-            while e + 1 < len(diagonals) and diagonals[e + 1] - diagonals[k] <= band:
-                e += 1
-            centres = {diagonals[k], diagonals[(k + e) // 2], diagonals[e]}
-            found.append(max((align(tokens, index.tokens[t], c, band) for c in centres), key=lambda f: (f[0], f[1] - f[2])))
-            k = e + 1
+        found = {align(tokens, index.tokens[t], c, band) for c in set(diagonals)}
         taken: list[tuple[int, int]] = []
-        for matched, a, b in sorted(set(found), key=lambda f: (-f[0], f[2] - f[1], f[1])):
+        for matched, a, b in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
             if matched < min_coverage * max(len(index.tokens[t]), b - a) or any(a < y and x < b for x, y in taken):
                 continue
             taken.append((a, b))
