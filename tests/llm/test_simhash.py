@@ -25,8 +25,17 @@ def table(spark, docs):
     return spark.createDataFrame(docs, "doc_id bigint, text string")
 
 
-def groups(rows, max_bits, max_pair_bits):
-    """Least id of each document's group, by comparing all pairs."""
+def keys_of(f):
+    code = S.golay()
+    out = []
+    for s in S.segments_of(np.array([f[0]]), np.array([f[1]])):
+        keys, ok = code.keys(s)
+        out.append(set(keys[ok].tolist()))
+    return out
+
+
+def groups(rows, max_bits, max_pair_bits, candidates=False):
+    """Least id of each document's group, by comparing all pairs (``candidates``: that share keys of two segments)."""
     prints = [(i, f) for i, f in zip([r[0] for r in rows], S.fingerprints([r[1] for r in rows])) if f]
     root = {i: i for i, _ in prints}
 
@@ -38,6 +47,8 @@ def groups(rows, max_bits, max_pair_bits):
     for a, (i, f) in enumerate(prints):
         for j, g in prints[a + 1 :]:
             if bin(f[0] ^ g[0]).count("1") + bin(f[1] ^ g[1]).count("1") <= max_bits and bin((f[2] ^ g[2]) & (1 << 64) - 1).count("1") <= max_pair_bits:
+                if candidates and sum(bool(x & y) for x, y in zip(keys_of(f), keys_of(g))) < 2:
+                    continue
                 a_, b_ = sorted((find(i), find(j)))
                 root[b_] = a_
     return {i: find(i) for i in root}
