@@ -123,7 +123,7 @@ def contour_kinds(contours: DataFrame) -> DataFrame:
         .when((roundness < 0.7) & n.between(4, 8), "bowtie")
         .otherwise("unknown")
     )
-    return on.drop("children").withColumn("kind", kind)
+    return on.withColumn("kind", kind).drop("children")
 
 
 def contour_shapes(contours: DataFrame, pages: DataFrame) -> DataFrame:
