@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -57,9 +58,13 @@ class Codec:
         inner = set("".join(p for p in self.vocab if len(p) > 1))
         stop = "" if "\n" in inner else "\n"
         self.pattern = re.compile(rf"{MARK}*[^{MARK}{stop}]+|{MARK}+" + (f"|{stop}" if stop else ""))
-        self.longest: dict[str, int] = {}
-        for p in self.vocab:
-            self.longest[p[-1]] = max(self.longest.get(p[-1], 1), len(p))
+        # pieces by their last characters: a trie of dicts, read backwards, with the piece's id under ""
+        self.endings: dict = {}
+        for p, i in self.vocab.items():
+            node = self.endings
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = i
         self.least = min((self.score[i] for i in self.vocab.values()), default=0.0)
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
@@ -137,7 +142,7 @@ class Codec:
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """(word, its ids as int32 bytes) for distinct words, in sorted order."""
-        vocab, longest, score = self.vocab, self.longest, self.score
+        endings, score, pairs = self.endings, self.score, self.pairs
         last: list[int] = []  # for each prefix the id of its last piece, -1 for a character without one
         length: list[int] = []
         best: list[float] = [0.0]
@@ -151,34 +156,33 @@ class Codec:
             del last[same:], length[same:], best[same + 1 :]
             for i in range(same, len(word)):
                 end = i + 1
-                most = longest.get(word[i], 1)
+                ends: list[tuple[int, int]] = []  # (length, id) of the pieces that end here, the shortest first
+                node, k = endings, i
+                while k >= 0:
+                    node = node.get(word[k])
+                    if node is None:
+                        break
+                    t = node.get("")
+                    if t is not None:
+                        ends.append((end - k, t))
+                    k -= 1
+                got, size = -1, 1
                 if self.bpe:
-                    got, size = -1, 1
-                    for k in range(min(most, end), 0, -1):
-                        t = vocab.get(word[end - k : end])
-                        if t is None:
-                            continue
-                        if end == k:
-                            if self.stands(t):
-                                got, size = t, k
-                                break
-                        else:
-                            u = last[end - k - 1]
-                            # nothing merges with a character that is no piece
-                            if (self.stands(t) if u < 0 else self.follows(u, t)):
-                                got, size = t, k
-                                break
-                    last.append(got)
-                    length.append(size)
+                    for k, t in reversed(ends):
+                        u = last[i - k] if k < end else -1
+                        # nothing merges with a character that is no piece
+                        ok = self.stands(t) if u < 0 else pairs.get(u << 32 | t)
+                        if self.follows(u, t) if ok is None else ok:
+                            got, size = t, k
+                            break
                 else:
-                    top, got, size = best[i] + self.least - UNKNOWN_PENALTY, -1, 1
-                    for k in range(1, min(most, end) + 1):
-                        t = vocab.get(word[end - k : end])
-                        if t is not None and best[end - k] + score[t] > top or t is not None and k == 1:
+                    top = best[i] + self.least - UNKNOWN_PENALTY
+                    for k, t in ends:
+                        if best[end - k] + score[t] > top or k == 1:
                             top, got, size = best[end - k] + score[t], t, k
                     best.append(top)
-                    last.append(got)
-                    length.append(size)
+                last.append(got)
+                length.append(size)
             ids: list[int] = []
             end = len(word)
             while end:
@@ -191,7 +195,7 @@ class Codec:
                     ids.append(self.unk)
                 end -= length[end - 1]
             ids.reverse()
-            yield word, np.array(ids, dtype=np.int32).tobytes()
+            yield word, array("i", ids).tobytes()
             before = word
 
     # -- batches
@@ -230,7 +234,7 @@ def codec(model_file: str) -> Codec:
     return _codecs[model_file]
 
 
-def _pieces(b: pa.RecordBatch, text: int, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _pieces(b: pa.RecordBatch, text: int, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many bytes of text, at least a row each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
     at = 0
