@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -72,16 +73,12 @@ class Tokens(NamedTuple):
 
 
 def tokens_of(texts: list[str | None]) -> Tokens:
-    index: dict[str, int] = {}
-    ids: list[int] = []
-    sizes = np.zeros(len(texts), dtype=np.int64)
-    for k, t in enumerate(texts):
-        if t:
-            ws = words(t)
-            sizes[k] = len(ws)
-            ids += [index.setdefault(w, len(index)) for w in ws]
+    split = [words(t) if t else [] for t in texts]
+    sizes = np.array([len(ws) for ws in split], dtype=np.int64)
+    index = dict.fromkeys(chain.from_iterable(split))
     vocab = np.array([xxhash.xxh3_64_intdigest(w) for w in index], dtype=np.uint64)
-    at = np.array(ids, dtype=np.int64)
+    index = dict(zip(index, range(len(index))))
+    at = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
     return Tokens(vocab[at] if len(at) else np.zeros(0, np.uint64), sizes, vocab, at)
 
 
@@ -216,10 +213,17 @@ def read_levels(h: np.ndarray, field: np.ndarray, bits: np.ndarray, offset: np.n
     at = np.arange(len(h))
     j = 1
     while len(at):
+        x = mix64(h + np.uint64(j * int(_A) & (1 << 64) - 1))
+        step = (x << _32 | x >> _32) * _B | np.uint64(1)
         for k in range(HASHES):
-            p = positions(h[at], j, k, bits[at])
-            hit = field[offset[at] + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1
-            at = at[hit == 1]
+            p = (x >> _32) * bits >> _32
+            hit = (field[offset + (p >> np.uint64(3)).view(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+            if k < HASHES - 1:
+                x = x + step
+            if not hit.all():
+                at, h, bits, offset = at[hit], h[hit], bits[hit], offset[hit]
+                if k < HASHES - 1:
+                    x, step = x[hit], step[hit]
         out[at] = j
         j += 1
     return out
