@@ -59,8 +59,16 @@ def nearest_detections(truth: DataFrame, nodes: DataFrame, reach: float) -> Data
     want = truth.select("gt_id", "page", "category", F.col("bbox").alias("gt_bbox"), tx.alias("tx"), ty.alias("ty"))
     nx, ny = middle(F.col("bbox"))
     got = nodes.select("page", S.coarse3_or_unknown(F.col("component_type")).alias("category"), "ord", "bbox", nx.alias("nx"), ny.alias("ny"))
-    on = want.join(got, ["page", "category"], "left").withColumn("dist", distance(F.col("tx"), F.col("ty"), F.col("nx"), F.col("ny")))
-    best = on.groupBy("gt_id").agg(F.min_by(F.struct("page", "category", "gt_bbox", "bbox", "dist"), F.struct(F.col("dist").isNull(), "dist", "ord")).alias("v")).select("gt_id", "v.*")
+    best = lambda on: on.groupBy("gt_id").agg(F.min_by(F.struct("page", "category", "gt_bbox", "bbox", "dist"), F.struct(F.col("dist").isNull(), "dist", "ord")).alias("v")).select("gt_id", "v.*")
+    dist = distance(F.col("tx"), F.col("ty"), F.col("nx"), F.col("ny"))
+    # most have a node within reach, in a cell round theirs; only the others are compared with all of their category
+    size = max(1.0, float(reach))
+    cell = lambda df, x, y: df.withColumns({"cx": F.floor(F.col(x) / size), "cy": F.floor(F.col(y) / size)})
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    round_ = cell(want, "tx", "ty").withColumn("s", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")}).drop("s")
+    close = best(round_.join(cell(got, "nx", "ny"), ["page", "category", "cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= reach))
+    rest = want.join(close.select("gt_id"), "gt_id", "left_anti").join(got, ["page", "category"], "left").withColumn("dist", dist)
+    best = close.unionByName(best(rest))
     matched = F.coalesce(F.col("dist") <= reach, F.lit(False))
     iou = F.when(matched, F.round(iou_boxes(F.col("gt_bbox"), F.col("bbox")), 3)).otherwise(0.0)
     return best.select("gt_id", "page", "category", "gt_bbox", matched.alias("matched"), F.round("dist", 1).alias("nearest_center_distance_px"), F.when(matched, F.col("bbox")).alias("matched_bbox"), iou.alias("iou"))

@@ -28,10 +28,15 @@ def _cells(lo: Column, hi: Column, size: int) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _spread(boxes: DataFrame, reach: float, cell: int) -> DataFrame:
+    """boxes(page, x, y, w, h, ...) once for each cell that they, widened by ``reach``, touch."""
+    out = boxes.withColumn("cx", F.explode(_cells(F.col("x") - reach, F.col("x") + F.col("w") + reach, cell)))
+    return out.withColumn("cy", F.explode(_cells(F.col("y") - reach, F.col("y") + F.col("h") + reach, cell)))
+
+
 def grid_pairs(points: DataFrame, boxes: DataFrame, reach: float, cell: int = CELL) -> DataFrame:
     """points(page, px, py, ...) with the boxes(page, x, y, w, h, ...) that are within about ``reach``."""
-    spread = boxes.withColumn("cx", F.explode(_cells(F.col("x") - reach, F.col("x") + F.col("w") + reach, cell)))
-    spread = spread.withColumn("cy", F.explode(_cells(F.col("y") - reach, F.col("y") + F.col("h") + reach, cell)))
+    spread = _spread(boxes, reach, cell)
     placed = points.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
     return placed.join(spread, ["page", "cx", "cy"]).drop("cx", "cy")
 
@@ -41,11 +46,16 @@ def nearest_box(points: DataFrame, boxes: DataFrame, reach: float = ENDPOINT_REA
 
     Only boxes nearer than ``reach``; of equally near ones the first by ord. Points without any are left out.
     """
-    both = grid_pairs(points.select("page", "point", "px", "py"), boxes.select("page", "ord", "x", "y", "w", "h"), reach, cell)
+    points, boxes = points.select("page", "point", "px", "py"), boxes.select("page", "ord", "x", "y", "w", "h")
     dist = box_distance(*[F.col(c) for c in ("x", "y", "w", "h", "px", "py")])
-    near = both.select("page", "point", "ord", dist.alias("dist")).where(F.col("dist") < reach)
-    best = near.groupBy("page", "point").agg(F.min(F.struct("dist", "ord")).alias("best"))
-    return best.select("page", "point", "best.ord", "best.dist")
+    near = grid_pairs(points, boxes, reach, cell).select("page", "point", "ord", dist.alias("dist")).where(F.col("dist") < reach)
+    # least distance, and of boxes round the point the first: hash aggregates of plain numbers, no sort of pairs
+    first = near.groupBy("page", "point").agg(F.min("dist").alias("least"), F.min(F.when(F.col("dist") == 0, F.col("ord"))).alias("ord"))
+    inside = first.where("ord is not null").select("page", "point", "ord", F.col("least").alias("dist"))
+    # points outside of all boxes are looked at once more, to find the first of the nearest
+    outside = points.join(first.where("ord is null").select("page", "point", "least"), ["page", "point"])
+    again = grid_pairs(outside, boxes, reach, cell).where(dist == F.col("least"))
+    return inside.unionByName(again.groupBy("page", "point").agg(F.min("ord").alias("ord"), F.min("least").alias("dist")))
 
 
 def segment_edges(segments: DataFrame, boxes: DataFrame, reach: float = ENDPOINT_REACH, cell: int = CELL) -> DataFrame:
