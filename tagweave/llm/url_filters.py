@@ -45,7 +45,7 @@ RULES: tuple[Rule, ...] = tuple(
 
 
 class Automaton:
-    """Multiword Shift-And over the UTF-8 bytes of globs; ``?`` matches one byte of an (ASCII) URL."""
+    """Multiword Shift-And over the UTF-8 bytes of globs; ``?`` takes the first byte of a character and keeps to it."""
 
     def __init__(self, globs: Sequence[str]) -> None:
         bits: list[int | None] = []  # byte, or None for any
@@ -79,8 +79,11 @@ class Automaton:
                 out[b // 64] |= np.uint64(1 << (b % 64))
             return out
 
-        self.first, self.loops, self.begin, self.final = pack(first), pack(loops), pack(begin), pack(final)
-        self.mask = np.stack([pack([b for b, c in enumerate(bits) if c is None or c == byte]) for byte in range(256)])
+        self.first, self.begin, self.final = pack(first), pack(begin), pack(final)
+        inside = [0x80 <= byte < 0xC0 for byte in range(256)]  # bytes that go on with a character
+        self.mask = np.stack([pack([b for b, c in enumerate(bits) if c == byte or c is None and not inside[byte]]) for byte in range(256)])
+        anyone = [b for b, c in enumerate(bits) if c is None]
+        self.stay = np.stack([pack(loops + anyone * inside[byte]) for byte in range(256)])
 
     def run(self, urls: Sequence[bytes]) -> np.ndarray:
         """(urls x words): the final bits that are set after the last character of each URL."""
@@ -102,7 +105,8 @@ class Automaton:
             shifted[:, 1:] |= d[:, :-1] >> top
             shifted &= ~self.first
             shifted |= self.first if pos == 0 else self.begin
-            s[:live] = (shifted & self.mask[flat[starts[:live] + pos]]) | (d & self.loops)
+            byte = flat[starts[:live] + pos]
+            s[:live] = (shifted & self.mask[byte]) | (d & self.stay[byte])
         state[order] = s & self.final
         return state
 

@@ -9,8 +9,8 @@ from tagweave.llm import url_filters as U
 
 def test_automaton_against_regular_expressions():
     rng = random.Random(2)
-    globs = ["*", "", "?", "a*b", "*ab", "ab*", "*a*b*", "a??b", "a*?b", "**a", "abc"] + ["".join(rng.choice("ab*?c") for _ in range(rng.randrange(1, 30))) for _ in range(200)]
-    urls = ["", "a", "ab", "abc", "aab"] + ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 40))) for _ in range(300)]
+    globs = ["*", "", "?", "a*b", "*ab", "ab*", "*a*b*", "a??b", "a*?b", "**a", "abc", "*?", "??", "*é?*"] + ["".join(rng.choice("ab*?cé") for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+    urls = ["", "a", "ab", "abc", "aab"] + ["".join(rng.choice("abcé漢") for _ in range(rng.randrange(0, 40))) for _ in range(300)]
     want = [[k for k, g in enumerate(globs) if re.fullmatch(fnmatch.translate(g), u)] for u in urls]
     auto = U.Automaton(globs)
     assert auto.words > 1
