@@ -28,3 +28,13 @@ def test_model_replies_and_failures(spark):
     assert adapters.available(url) and not adapters.available("http://127.0.0.1:9/")
     assert adapters.ask("http://127.0.0.1:9/", "m", "p", b"x", 1) == ""
     server.shutdown()
+
+
+def test_raster_adapters_plan_without_their_libraries(spark):
+    from tagweave.sources import raster
+
+    images = spark.createDataFrame([], "page int, png binary, width int, height int")
+    shapes = spark.createDataFrame([], "page int, shape_id bigint, bbox struct<x int, y int, w int, h int>")
+    assert raster.contours(images).columns[:3] == ["page", "idx", "parent"]
+    assert raster.headers(images).columns == ["page", "text"]
+    assert raster.raster_segments(images, shapes).collect() == [] and raster.label_reads(images, shapes).columns == ["page", "ord", "attempt", "raw_text"]
