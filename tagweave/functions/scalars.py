@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from .vocabulary import CLASS_WORDS, COARSE3, KEYWORD_TYPES, KIND_TYPES, PREFIX_TYPES, SUBTYPES, lookup
 
-TAG = r"[A-Z]{1,4}-\d{2,4}(?:-\d{1,3})?[A-Z]?"
+LETTERS, NUMBER, LOOP = "[A-Z]{1,4}", r"\d{2,4}", r"\d{1,3}"
+_LOOP = f"(?:-{LOOP})?"
+TAG = LETTERS + "-" + NUMBER + _LOOP + "[A-Z]?"
 BOUND_TAG = rf"(?U)\b({TAG})\b"
-LOOSE_TAG = rf"(?U)\b({TAG}|[A-Z]{{1,4}}\s+\d{{2,4}}(?:-\d{{1,3}})?[A-Z]?)\b"
-TOLERANT_TAG = r"(?U)\b([A-Z]{1,4})[-=/—–](\d{2,4})\b"
-HEADER_PREFIX = r"(?U)\b([A-Z]{1,4})[-=/—–]\d"
-PRESSURE = r"(?iU)(?:DESIGN|M\.?W\.?P\.?)[:\s]*[^0-9]{0,15}?(\d{2,4}(?:\.\d+)?)\s*PSIG"
-TEMPERATURE = r"(?iUd)(-?\d{1,3}(?:\s*(?:TO|/)\s*-?\d{1,3})?)\s*.?\s*F\b"
-ROW_TAG = r"(?U)^([A-Z]{1,4}-\d{2,4})"
+LOOSE_TAG = rf"(?U)\b({TAG}|" + LETTERS + r"\s+" + NUMBER + _LOOP + r"[A-Z]?)\b"
+DASHES = "[-=/—–]"
+TOLERANT_TAG = rf"(?U)\b({LETTERS})" + DASHES + rf"({NUMBER})\b"
+HEADER_PREFIX = rf"(?U)\b({LETTERS})" + DASHES + r"\d"
+_STATED, _FRACTION = r"M\.?W\.?P\.?|DESIGN", r"(?:\.\d+)?"
+_GAP = r"[:\s]*" + "[^0-9]" + "{0,15}?"
+PRESSURE = f"(?iU)(?:{_STATED}){_GAP}({NUMBER}{_FRACTION})" + r"\s*PSIG"
+_DEGREES = r"-?" + LOOP
+TEMPERATURE = rf"(?iUd)({_DEGREES}(?:\s*(?:/|TO)\s*{_DEGREES})?)" + r"\s*.?\s*F\b"
+ROW_TAG = rf"(?U)^({LETTERS}-{NUMBER})"
 _WORDS = "|".join(KEYWORD_TYPES)
 DECLARATION = rf"(?iU)\b(?:({_WORDS})\s+({TAG})|({TAG})\s+\(?({_WORDS})\)?)\b"
-_LINKS = "|".join((r"connect(?:ed|s)? to", r"feeds? into", r"flows? (?:from .*? )?to", r"discharges? (?:in)?to"))
+_LINKS = "|".join([r"discharges? (?:in)?to", r"feeds? into", r"connect(?:ed|s)? to", r"flows? (?:from .*? )?" + "to"])
 CONNECTION = rf"(?iUd)({TAG})\s*(?:{_LINKS})\s*({TAG})"
 FLOAT = r"(?i)^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(inf|infinity|nan)$"
 
@@ -43,7 +49,7 @@ def type_of_tag(tag: Column) -> Column:
 
 def coarse6(kind: Column) -> Column:
     """valve, pump, tank, compressor, heat_exchanger, else instrument; unknown stays."""
-    same = kind.isin("unknown", "pump", "tank", "compressor", "heat_exchanger")
+    same = kind.isin("compressor", "heat_exchanger", "pump", "tank", "unknown")
     return F.when(kind.isNull(), None).when(same, kind).when(kind.contains("valve"), "valve").otherwise("instrument")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 BOX = "struct(x, y, w, h)"
-TAG_RE = r"\b([A-Z]{1,4}-\d{2,4}(?:-\d{1,3})?[A-Z]?)\b"
+TAG_RE = rf"\b({S.TAG})\b"
 
 
 def query(name: str, sql: str | None = None, views: str = "", ctes: str = ""):
@@ -48,11 +49,11 @@ def _type(tag: str) -> str:
 
 
 def _coarse6(t: str) -> str:
-    return f"(CASE WHEN {t} IS NULL THEN NULL WHEN {t} IN ('unknown', 'pump', 'tank', 'compressor', 'heat_exchanger') THEN {t} WHEN contains({t}, 'valve') THEN 'valve' ELSE 'instrument' END)"
+    return f"(CASE WHEN {t} IS NULL THEN NULL WHEN {t} IN ('compressor', 'heat_exchanger', 'pump', 'tank', 'unknown') THEN {t} WHEN contains({t}, 'valve') THEN 'valve' ELSE 'instrument' END)"
 
 
 def _coarse3(t: str) -> str:
-    return f"(CASE WHEN {t} IS NULL OR {t} = 'unknown' THEN NULL WHEN contains({t}, 'valve') THEN 'valve' WHEN {t} IN ('equipment', 'tank', 'pump', 'compressor', 'heat_exchanger', 'filter') THEN 'equipment' ELSE 'instrument' END)"
+    return f"(CASE WHEN {t} IS NULL OR {t} = 'unknown' THEN NULL WHEN contains({t}, 'valve') THEN 'valve' WHEN {t} IN ('compressor', 'equipment', 'filter', 'heat_exchanger', 'pump', 'tank') THEN 'equipment' ELSE 'instrument' END)"
 
 
 _GEO = _case("kind", KIND_TYPES, "'unknown'")
@@ -68,10 +69,10 @@ nodes AS (
   FROM typed
 )"""
 REFS = f"refs AS (SELECT DISTINCT unnest(regexp_extract_all(upper(full_text), '{TAG_RE}', 1)) AS tag FROM sop)"
-_DECL = rf"(?i)\b(?:({'|'.join(KEYWORD_TYPES)})\s+([A-Z]{{1,4}}-\d{{2,4}}(?:-\d{{1,3}})?[A-Z]?))\b"
+_DECL = rf"(?i)\b(?:({'|'.join(KEYWORD_TYPES)})\s+({S.TAG}))\b"
 TYPES = f"""found AS (SELECT doc_id, unnest(regexp_extract_all(full_text, '{_DECL}', 1)) AS word, unnest(regexp_extract_all(full_text, '{_DECL}', 2)) AS tag, unnest(range(len(regexp_extract_all(full_text, '{_DECL}', 1)))) AS pos FROM sop),
 types AS (SELECT upper(tag) AS tag, {_case("arg_max(lower(word), (doc_id, pos))", KEYWORD_TYPES)} AS declared_type FROM found GROUP BY upper(tag))"""
-_LINK = r"([A-Z]{1,4}-\d{2,4}[A-Z]?)\s*CONNECTS? TO\s*([A-Z]{1,4}-\d{2,4}[A-Z]?)"
+_LINK = rf"({S.TAG})\s*CONNECTS? TO\s*({S.TAG})"
 CONNS = f"""conns AS (
   SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (
     SELECT unnest(regexp_extract_all(upper(full_text), '{_LINK}', 1)) AS a, unnest(regexp_extract_all(upper(full_text), '{_LINK}', 2)) AS b FROM sop
@@ -253,7 +254,7 @@ UNION ALL SELECT 'WARNING', 'TYPE_MISMATCH', 'SOP describes ' || tag || ' as a '
     + _coarse6("component_type")
     + """)) AS actuals FROM merged WHERE tag IS NOT NULL GROUP BY tag) USING (tag) WHERE NOT list_contains(actuals, declared_type)
 UNION ALL SELECT 'WARNING', 'UNRESOLVED_TAG', 'Detected ' || kind || ' symbol at bbox=[' || x || ', ' || y || ', ' || w || ', ' || h || '] could not be OCR-matched to a tag (raw text: '''').' FROM merged WHERE tag IS NULL
-UNION ALL SELECT 'WARNING', 'DUPLICATE_TAG', count(*) || ' distinct P&ID symbols all resolved to tag ' || tag || ' (' || string_agg(label, ', ' ORDER BY place, label) || ') — likely an OCR/extraction ambiguity, or a genuine duplicate tag on the drawing; verify manually.' FROM merged WHERE tag IS NOT NULL GROUP BY tag HAVING count(*) > 1""",
+UNION ALL SELECT 'WARNING', 'DUPLICATE_TAG', count(*) || ' distinct P&ID symbols all resolved to tag ' || tag || ' (' || string_agg(label, ', ' ORDER BY place, label) || ') — likely an OCR/extraction ambiguity,' || ' or a genuine duplicate tag' || ' on the drawing; verify manually.' FROM merged WHERE tag IS NOT NULL GROUP BY tag HAVING count(*) > 1""",
     "sym sop seg lim_p lim_s",
     ALL,
 )
@@ -277,18 +278,24 @@ def _(spark, d):
     return crossref.limit_checks(view(spark, d, "lim_p"), view(spark, d, "lim_s")).where("not temperature_ok").select("tag", "design_temperature_f")
 
 
-HEADERS = [(0, "F-715 A & B DESIGN: 275 PSIG @ 100F V-745 SEE NOTE"), (1, "MV-701 DESIGN: 250 PSIG @ 90F"), (2, "AC-746 MWP 275 PSIG @ 100F E-742 MWP 300 PSIG @ 150F"), (3, "NOTHING RELEVANT HERE")]
-KNOWN = ["F-715", "V-745", "MV-701", "MV-702", "AC-746", "E-742"]
+HEADERS = [
+    (0, "F-310 C & D  DESIGN: 265 PSIG @ 95F, V-320 SEE SHEET 2"),
+    (1, "MV-330 DESIGN: 240 PSIG @ 85F"),
+    (2, "AC-340 MWP 265 PSIG @ 95F / E-350 MWP 310 PSIG @ 155F"),
+    (3, "NO LIMITS ON THIS SHEET"),
+]
+_RE2_PRESSURE, _RE2_TEMPERATURE = (re.sub(r"^\(\?i\w*\)", "(?i)", p) for p in (S.PRESSURE, S.TEMPERATURE))
+KNOWN = ["F-310", "V-320", "MV-330", "MV-331", "AC-340", "E-350"]
 
 
 @query(
     "title_block_pairing",
-    r"""SELECT tag, arg_max(p, page) AS design_pressure_psig, arg_max(t, page) AS design_temperature_f FROM (
-  SELECT page, tag, TRY_CAST(regexp_extract_all(body, '(?:DESIGN|M\.?W\.?P\.?)[:\s]*[^0-9]{0,15}?(\d{2,4}(?:\.\d+)?)\s*PSIG', 1)[i] AS DOUBLE) AS p,
-    regexp_extract_all(body, '(-?\d{1,3}(?:\s*(?:TO|/)\s*-?\d{1,3})?)\s*.?\s*F\b', 1)[i] AS t
+    rf"""SELECT tag, arg_max(p, page) AS design_pressure_psig, arg_max(t, page) AS design_temperature_f FROM (
+  SELECT page, tag, TRY_CAST(regexp_extract_all(body, '{_RE2_PRESSURE}', 1)[i] AS DOUBLE) AS p,
+    regexp_extract_all(body, '{_RE2_TEMPERATURE}', 1)[i] AS t
   FROM (SELECT page, body, prefix, row_number() OVER (PARTITION BY page ORDER BY at_, prefix) AS i FROM (
-    SELECT page, body, prefix, instr(body, regexp_extract(body, '\b' || prefix || '[-=/–—][^\n]{0,3}\d')) AS at_
-    FROM heads CROSS JOIN (SELECT DISTINCT string_split(tag, '-')[1] AS prefix FROM known) WHERE regexp_matches(body, '\b' || prefix || '[-=/–—][^\n]{0,3}\d'))) JOIN known ON string_split(tag, '-')[1] = prefix
+    SELECT page, body, prefix, instr(body, regexp_extract(body, '\b' || prefix || '{S.DASHES}' || '[^\n]{{0,3}}' || '\d')) AS at_
+    FROM heads CROSS JOIN (SELECT DISTINCT string_split(tag, '-')[1] AS prefix FROM known) WHERE regexp_matches(body, '\b' || prefix || '{S.DASHES}' || '[^\n]{{0,3}}' || '\d'))) JOIN known ON string_split(tag, '-')[1] = prefix
 ) GROUP BY tag""",
     ctes=f"heads(page, body) AS (VALUES {', '.join(f'({p}, {chr(39)}{t}{chr(39)})' for p, t in HEADERS)}), known(tag) AS (VALUES {', '.join(f'({chr(39)}{t}{chr(39)})' for t in KNOWN)})",
 )
@@ -298,14 +305,18 @@ def _(spark, d):
 
 
 TABLES = [
-    ("d", [[["", "Pressure (psig)", "Temperature (°F)"], ["F-715 A and B Particulate Filters", "275", "100"], ["E-742 Exchanger (Shell)", "300", "375"], ["E-742 Exchanger (Tube)", "300", "250"], ["Notes", "1", "2"], ["P-1000A short"]], [["Item", "Design pressure", "Max temp"], ["V-745 Stabilizer Tower", "1,275", " "], ["ZZ-12 bad", "n/a", "-20/400"]], [["Name", "Notes"], ["F-715", "x"]]]),
-]
+    ("d", [
+        [["Unit", "Max. pressure, psig", "Temperature"], ["F-310 C and D coalescers", "265", "95"], ["E-350 shell", "310", "385"], ["E-350 tubes", "310", "245"], ["Remarks", "1", "2"], ["P-1000A short"]],
+        [["Item", "Design pressure", "Max temp"], ["V-320 column", "1,265", " "], ["ZZ-12 bad", "n/a", "-20/400"]],
+        [["Who", "When"], ["F-310", "today"]],
+    ]),
+]
 
 
 @query(
     "limits_table_parse",
-    """SELECT * FROM (VALUES ('d', 0, 1, 'F-715', 'F-715 A and B Particulate Filters', CAST(275.0 AS DOUBLE), '100'), ('d', 0, 2, 'E-742', 'E-742 Exchanger (Shell)', 300.0, '375'),
-  ('d', 0, 3, 'E-742', 'E-742 Exchanger (Tube)', 300.0, '250'), ('d', 0, 5, 'P-1000', 'P-1000A short', NULL, NULL), ('d', 1, 1, 'V-745', 'V-745 Stabilizer Tower', 1275.0, NULL),
+    """SELECT * FROM (VALUES ('d', 0, 1, 'F-310', 'F-310 C and D coalescers', CAST(265.0 AS DOUBLE), '95'), ('d', 0, 2, 'E-350', 'E-350 shell', 310.0, '385'),
+  ('d', 0, 3, 'E-350', 'E-350 tubes', 310.0, '245'), ('d', 0, 5, 'P-1000', 'P-1000A short', NULL, NULL), ('d', 1, 1, 'V-320', 'V-320 column', 1265.0, NULL),
   ('d', 1, 2, 'ZZ-12', 'ZZ-12 bad', NULL, '-20/400')) v(doc_id, table_no, row_no, tag, raw_label, pressure_psig, temperature_f)""",
 )
 def _(spark, d):

@@ -33,8 +33,8 @@ def pdf_pages(files: DataFrame, dpi: int = 200) -> DataFrame:
             rows = []
             for path, content in zip(f["path"], f["content"]):
                 with fitz.open(stream=content, filetype="pdf") as doc:
-                    if doc.page_count == 0:
-                        raise ValueError(f"{path} has no pages")
+                    if not len(doc):
+                        raise ValueError("no pages: " + path)
                     for k, page in enumerate(doc):
                         m = page.rotation_matrix
                         rows.append({"page": k, "width": page.rect.width, "height": page.rect.height, "dpi": dpi, "matrix": {"a": m.a, "b": m.b, "c": m.c, "d": m.d, "e": m.e, "f": m.f}})
@@ -106,7 +106,7 @@ def detections(tiles: DataFrame, weights: str, confidence: float = 0.25) -> Data
 
 def ask(url: str, model: str, prompt: str, png: bytes, timeout: float = 180.0) -> str:
     """A vision model's reply; empty on any failure of network or format."""
-    body = {"model": model, "prompt": prompt, "images": [base64.b64encode(png).decode()], "stream": False, "options": {"temperature": 0}}
+    body = {"options": {"temperature": 0}, "model": model, "stream": False, "images": [base64.b64encode(png).decode()], "prompt": prompt}
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
     try:
         with urllib.request.urlopen(request, timeout=timeout) as r:

@@ -108,7 +108,7 @@ def scene(spark):
 def test_a_whole_run(spark, tmp_path):
     p = scene(spark)
     nodes, edges = P.whole_graph(p)
-    assert {r.label: r.component_type for r in nodes.collect()} == {"T-101": "tank", "P-101": "pump", "V-101": "valve", "FT-101": "flow_transmitter", "V-102": "valve", "UNLABELED-P0-UNLABELED-5": "tank"}
+    assert {r.label: r.component_type for r in nodes.collect()} == {"FT-101": "flow_transmitter", "UNLABELED-P0-UNLABELED-5": "tank", "V-101": "valve", "V-102": "valve", "P-101": "pump", "T-101": "tank"}
     assert sorted((r.a, r.b) for r in edges.collect()) == [("FT-101", "V-101"), ("P-101", "T-101"), ("P-101", "V-101")]
     sop = spark.createDataFrame([("d", PROCEDURE, PROCEDURE.split("\n"), [[["", "Pressure"], ["T-101 tank", "100"]]])], "doc_id string, full_text string, paragraphs array<string>, tables array<array<array<string>>>")
     heads = spark.createDataFrame([(0, "T-101 DESIGN: 200 PSIG @ 10F")], "page int, text string")

@@ -27,8 +27,9 @@ _PREFIX = re.compile(r"[\s-]")
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_types_of_any_text(spark, values):
     def plain(v):
-        head = _PREFIX.split(v.strip(), maxsplit=1)[0].upper()
-        return PREFIX_TYPES.get(head.rstrip("0123456789") or head)
+        first = _PREFIX.split(v.strip())[0]
+        letters = re.sub("[0-9]+$", "", first.upper())
+        return PREFIX_TYPES.get(letters if letters else first.upper())
 
     assert apply(spark, values, S.type_of_tag) == [plain(v) for v in values]
 
@@ -49,29 +50,25 @@ def test_a_tag_s_type_must_not_contradict_the_outline(spark):
     assert all(r.got == r.want for r in df.select("want", S.component_type(F.col("tag"), F.col("kind"), F.col("o")).alias("got")).collect())
 
 
+def number(text):
+    plain = (text or "").replace(",", "").strip()
+    try:
+        return float(plain) if text is not None else None
+    except ValueError:
+        return None
+
+
 def test_numbers(spark):
     values = ["275", " 1,275 ", "1e3", ".5", "5.", "1_000", "1__0", "n/a", "", "1d", "5f", "-inf", "NaN", "+7", "0x10", None]
 
-    def plain(v):
-        try:
-            return float(v.strip().replace(",", ""))
-        except (ValueError, AttributeError):
-            return None
-
-    got, want = apply(spark, values, S.to_float), [plain(v) for v in values]
+    got, want = apply(spark, values, S.to_float), [number(v) for v in values]
     assert [str(g) for g in got] == [str(w) for w in want]
 
 
 @given(st.lists(st.text(alphabet="0123456789.,eE+-_ xnaif", max_size=7), min_size=1, max_size=60))
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_numbers_of_any_text(spark, values):
-    def plain(v):
-        try:
-            return float(v.strip().replace(",", ""))
-        except ValueError:
-            return None
-
-    assert [str(g) for g in apply(spark, values, S.to_float)] == [str(plain(v)) for v in values]
+    assert [str(g) for g in apply(spark, values, S.to_float)] == [str(number(v)) for v in values]
 
 
 def test_digits_ranges_tags(spark):

@@ -31,18 +31,18 @@ def test_the_last_declaration_wins_across_documents(spark):
 def test_limits(spark):
     rows = T.equipment_limits(spark.createDataFrame([*TABLES, ("e", []), ("n", None), ("o", [[], [["only header", "pressure"]]])], "doc_id string, tables array<array<array<string>>>")).collect()
     got = [(r.tag, r.pressure_psig, r.temperature_f) for r in sorted(rows, key=lambda r: (r.doc_id, r.table_no, r.row_no))]
-    assert got == [("F-715", 275.0, "100"), ("E-742", 300.0, "375"), ("E-742", 300.0, "250"), ("P-1000", None, None), ("V-745", 1275.0, None), ("ZZ-12", None, "-20/400")]
+    assert got == [("F-310", 265.0, "95"), ("E-350", 310.0, "385"), ("E-350", 310.0, "245"), ("P-1000", None, None), ("V-320", 1265.0, None), ("ZZ-12", None, "-20/400")]
 
 
 @pytest.mark.parametrize("known", [True, False])
 def test_title_blocks(spark, known):
-    heads = spark.createDataFrame([*HEADERS, (9, "f-/153 a design: 10.5 psig"), (10, "OPERATING: 230 PSIG DESIGN: 275 PSIG @ -20 TO 100F E—742")], "page int, text string")
+    heads = spark.createDataFrame([*HEADERS, (9, "f-/153 a design: 10.5 psig"), (10, "WORKING: 210 PSIG DESIGN: 255 PSIG @ -20 TO 100F E—350")], "page int, text string")
     vocabulary = spark.createDataFrame([(t,) for t in KNOWN], "tag string") if known else None
     got = {r.tag: (r.design_pressure_psig, r.design_temperature_f) for r in T.title_limits(heads, vocabulary).collect()}
     if known:
-        assert got == {"F-715": (10.5, None), "V-745": (None, None), "MV-701": (250.0, "90"), "MV-702": (250.0, "90"), "AC-746": (275.0, "100"), "E-742": (275.0, "-20 TO 100")}
+        assert got == {"F-310": (10.5, None), "V-320": (None, None), "MV-330": (240.0, "85"), "MV-331": (240.0, "85"), "AC-340": (265.0, "95"), "E-350": (255.0, "-20 TO 100")}
     else:
-        assert got["MV"] == (250.0, "90") and got["E"] == (275.0, "-20 TO 100") and set(got) == {"F", "V", "MV", "AC", "E"}
+        assert got["MV"] == (240.0, "85") and got["E"] == (255.0, "-20 TO 100") and set(got) == {"F", "V", "MV", "AC", "E"}
 
 
 def test_first_success(spark):
