@@ -25,8 +25,8 @@ from .common import batch_of, connected, cut, mix64, pick, words
 
 SEGMENTS, SEGMENT_BITS = 4, 23
 PAIRS = list(itertools.combinations(range(SEGMENTS), 2))
-MAX_BITS = 13
-MAX_PAIR_BITS = 19
+MAX_BITS = 16
+MAX_PAIR_BITS = 21
 ENTRIES_PER_BUCKET = 300_000
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
