@@ -26,8 +26,8 @@ from .common import fresh
 
 MODEL_FILE = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-WORDS_KEPT = 600_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 400_000
+PAIRS_KEPT = 500_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -234,7 +234,7 @@ def codec(model_file: str) -> Codec:
     return _codecs[model_file]
 
 
-def _pieces(b: pa.RecordBatch, text: int, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _pieces(b: pa.RecordBatch, text: int, chars: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many bytes of text, at least a row each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
     at = 0
