@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,18 @@ def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(texts: list[str | None], chars: int = 3_000_000) -> Iterator[slice]:
+    """Slices of a batch of about so many characters, so that what a worker holds doesn't follow the length of its texts."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size > chars:
+            yield slice(at, k + 1)
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def ranges(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for each length n, one after another."""
     ends = np.cumsum(lengths)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, mix64, pick, shuffle_parts, words
+from .common import batch_of, cut, mix64, pick, shuffle_parts, slices, words
 
 ORDER = 2
 BASE = 1.5
@@ -141,17 +141,6 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return h[starts], np.add.reduceat(c, starts) if len(starts) else c
 
 
-def _slices(texts: list[str | None], chars: int = 3_000_000) -> Iterator[slice]:
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size > chars:
-            yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def _count(order: int, buckets: int):
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -165,7 +154,7 @@ def _count(order: int, buckets: int):
         size = 0
         for b in batches:
             texts = b.column(1).to_pylist()
-            for part in _slices(texts):
+            for part in slices(texts):
                 t = tokens_of(texts[part])
                 held += ngrams(t, order)
                 held.append(np.full(int((t.sizes > 0).sum()), begin_key()))  # the begin mark, as a history
@@ -298,7 +287,7 @@ def _score_alone(model: Model, filter_):
         field = np.frombuffer(raw, dtype=np.uint8)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for part in _slices(texts):
+            for part in slices(texts):
                 t = tokens_of(texts[part])
                 read = lambda h: read_levels(h, field, sizes[(w := bucket_of(h, model.buckets).astype(np.int64))], offsets[w])
                 vocab, higher = model.keys(t)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, connected, cut, mix64, pick, words
+from .common import batch_of, connected, cut, mix64, pick, slices, words
 
 SEGMENTS, SEGMENT_BITS = 4, 23
 PAIRS = list(itertools.combinations(range(SEGMENTS), 2))
@@ -105,8 +105,9 @@ def fingerprints(texts: list[str | None]) -> list[tuple[int, int, int] | None]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b.column(0).to_pylist()
-        rows = [(i, *f) for i, f in zip(ids, fingerprints(b.column(1).to_pylist())) if f is not None and i is not None]
+        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        prints = [f for part in slices(texts) for f in fingerprints(texts[part])]
+        rows = [(i, *f) for i, f in zip(ids, prints) if f is not None and i is not None]
         yield batch_of({n: ([r[k] for r in rows], pa.int64()) for k, n in enumerate(("doc_id", "lo", "hi", "pairs"))})
 
 
