@@ -177,8 +177,6 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS,
     halves = F.coalesce(halves, F.array().cast("array<bigint>"))
     first = F.min(F.struct(*_first(F.col("doc_id"), F.col("line_no")), halves.alias("halves")))
     distinct = _places(base).groupBy("h1", "h2").agg(first.alias("f"))
-    if max_edits:  # used by two jobs: lines are hashed once
-        distinct = cut(distinct)
     kept = distinct.join(near_lines(base, distinct), ["h1", "h2"], "left_anti") if max_edits else distinct
     kept = kept.groupBy(F.col("f.doc_id").alias("k_id")).agg(F.collect_list(F.struct(F.col("f.line_no").alias("at"), F.col("h1").alias("h"))).alias("k"))
     n_lines, n_dropped, k_id, k, parts = fresh(docs, "n_lines", "n_dropped", "k_id", "k", "parts")
