@@ -26,8 +26,8 @@ from .common import fresh
 
 MODEL_FILE = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-WORDS_KEPT = 400_000
-PAIRS_KEPT = 500_000
+WORDS_KEPT = 200_000
+PAIRS_KEPT = 250_000
 UNKNOWN_PENALTY = 10.0
 
 
