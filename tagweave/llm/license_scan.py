@@ -4,6 +4,12 @@ The templates' token k-grams are hashed and winnowed (the least hash of every wi
 form an inverted index hash -> (template, position). Every k-gram of a document is looked up. Hits of a template
 on nearby diagonals are one candidate, which a banded local alignment of the two token sequences settles: matched
 tokens, coverage of the template, and span in the document. Only the index travels; nothing is shuffled.
+
+k and the window are a template's own: no larger than the run of tokens in order that the least allowed coverage
+can't break, so that every occurrence has a hit. At a coverage of 0.8 that run is of 2 tokens for most lengths
+(changes, gaps and extra tokens may come every 2 tokens), and winnowing leaves every 2- or 3-gram; at 0.95 it is of
+9 tokens for 163, and 3-grams are winnowed by windows of 4. Diagonals with fewer hits nearby than
+an occurrence has at least are dropped before the alignment, which loses nothing either.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ BAND = 8
 MIN_COVERAGE = 0.8
 #: Templates are scanned in groups of at most this many tokens, so that what travels stays small.
 GROUP_TOKENS = 2_000_000
+#: Hits are expanded for so many (position, template) pairs at once, or for one document.
+CHUNK = 2_000_000
 
 FINDING = "doc_id bigint, license string, matched_tokens int, coverage double, span_start int, span_end int"
 
@@ -95,47 +103,108 @@ def _better(a: tuple, b: tuple) -> bool:
     return a[0] > b[0] or a[0] == b[0] and a[0] > 0 and a[1] > b[1]
 
 
+def occurrences(m: int, min_coverage: float) -> list[tuple[int, int, int]]:
+    """(matched, tokens missing, most extra tokens) of the occurrences that a template of m tokens may have."""
+    least = max(min_coverage, 1 / m)
+    return [(n, m - n, int(n / least + 1e-9) - n) for n in range(1, m + 1) if n >= min_coverage * m]
+
+
+def trim(doc: list[int], template: list[int], lo: int, hi: int, min_coverage: float) -> tuple[int, int, int]:
+    """Like align, of the spans in doc[lo:hi] of which min_coverage is matched: by the longest common subsequence of each."""
+    m = len(template)
+    bits: dict[int, int] = {}
+    for i, t in enumerate(template):
+        bits[t] = bits.get(t, 0) | 1 << i
+    full = (1 << m) - 1
+    best = (0, 0, 0)
+    lo, hi = max(0, lo), min(len(doc), hi)
+    most = int(m / max(min_coverage, 1 / m) + 1e-9)
+    for a in range(lo, hi):
+        if doc[a] not in bits:
+            continue
+        v, matched = full, 0
+        for b in range(a, min(hi, a + most)):
+            x = v & bits.get(doc[b], 0)
+            if not x:
+                continue
+            v = (v + x | v - x) & full
+            n = m - v.bit_count()
+            if n > matched:
+                matched = n
+                if n >= min_coverage * max(m, b + 1 - a) and (n, a - b) > (best[0], best[1] - best[2] + 1):
+                    best = (n, a, b + 1)
+    return best
+
+
 class Index:
-    """Inverted index of the winnowed fingerprints of a group of templates."""
+    """Inverted index of the winnowed fingerprints of a group of templates, for occurrences of min_coverage at least."""
 
-    def __init__(self, templates: Mapping[str, str], k: int, window: int) -> None:
-        self.k = k
+    def __init__(self, templates: Mapping[str, str], k: int, window: int, min_coverage: float = MIN_COVERAGE) -> None:
         self.names = list(templates)
         self.vocab: dict[str, int] = {}
         self.tokens = [[self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(t)] for t in templates.values()]
         self.hash = np.concatenate([np.zeros(1, np.uint64), np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocab], dtype=np.uint64)])
-        grams: dict[int, list[tuple[int, int]]] = {}
-        self.short: dict[int, dict[int, list[tuple[int, int]]]] = {}  # templates of fewer than k tokens, by their length
+        self.reach = np.zeros(len(self.names), dtype=np.int64)  # diagonals an occurrence strays from that of any of its hits
+        self.need = np.ones(len(self.names), dtype=np.int64)  # hits that an occurrence has at least
+        grams: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, ids in enumerate(self.tokens):
             if not ids:
                 continue
-            size = min(k, len(ids))
-            into = grams if size == k else self.short.setdefault(size, {})
+            allowed = occurrences(len(ids), min_coverage)
+            if not allowed:
+                continue
+            run = min(-(-n // (missing + extra + 1)) for n, missing, extra in allowed)
+            size = min(k, run)
+            keep = min(window, run - size + 1)
+            self.reach[t] = max(max(missing, extra) for _, missing, extra in allowed)
+            if keep == 1:
+                self.need[t] = max(1, min(n - (size - 1) * (missing + extra + 1) for n, missing, extra in allowed))
+            into = grams.setdefault(size, {})
             h = gram_hashes(self.hash[ids], size)
-            for p in winnow(h, window):
+            for p in winnow(h, keep):
                 into.setdefault(int(h[p]), []).append((t, p))
-        self.grams = {k: grams, **self.short}
-        self.sorted = {size: np.array(sorted(g), dtype=np.uint64) for size, g in self.grams.items()}
+        #: By size: sorted hashes, where the postings of each begin and end, and the postings' templates and positions.
+        self.grams = {}
+        for size, g in grams.items():
+            known = sorted(g)
+            posted = np.array([x for h in known for x in g[h]], dtype=np.int64)
+            self.grams[size] = (np.array(known, dtype=np.uint64), np.cumsum([0, *(len(g[h]) for h in known)]), posted[:, 0], posted[:, 1])
 
 
 def scan_text(text: str, tokens: list[int], hits: list[tuple[int, int, int]], index: Index, band: int, min_coverage: float) -> list[tuple]:
-    """Findings of one document. hits: (template, position in the template, position in the document)."""
-    by: dict[int, list[int]] = {}
-    for t, p, at in hits:
-        by.setdefault(t, []).append(at - p)
+    """Findings of one document. hits: (template, diagonal, position in the document)."""
+    by: dict[int, dict[int, list[int]]] = {}
+    for t, c, at in hits:
+        by.setdefault(t, {}).setdefault(c, []).append(at)
     spans = None
     out = []
     for t, diagonals in by.items():
-        found = {align(tokens, index.tokens[t], c, band) for c in set(diagonals)}
+        template = index.tokens[t]
+        m, reach = len(template), min(band, int(index.reach[t]))
+        found = set()
+        whole = -1  # the end of the last whole occurrence
+        inside: set[int] = set()
+        for c in sorted(c for c in diagonals if c >= 0 and tokens[c : c + m] == template):
+            if c >= whole:
+                whole = c + m
+                found.add((m, c, whole))
+                inside.update(range(c, whole))
+        for c, at in diagonals.items():
+            if inside.issuperset(at):  # what overlaps a whole occurrence isn't reported
+                continue
+            f = align(tokens, template, c, reach)
+            if min_coverage * m <= f[0] < min_coverage * (f[2] - f[1]):  # less of it may be dense enough
+                f = trim(tokens, template, c - reach, c + m + reach, min_coverage)
+            found.add(f)
         taken: list[tuple[int, int]] = []
         for matched, a, b in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
-            if matched < min_coverage * max(len(index.tokens[t]), b - a) or any(a < y and x < b for x, y in taken):
+            if not matched or matched < min_coverage * max(m, b - a) or any(a < y and x < b for x, y in taken):
                 continue
             taken.append((a, b))
             if spans is None:
                 spans = [m.span() for m in WORD.finditer(text)]
-            out.append((index.names[t], matched, matched / len(index.tokens[t]), a, b))
-    out = [f for f in out if not any(g[1] > f[1] and g[3] <= f[3] and f[4] <= g[4] for g in out)]
+            out.append((index.names[t], matched, matched / m, a, b))
+    out = [f for f in out if not any(g[1:3] > f[1:3] and g[3] <= f[3] and f[4] <= g[4] for g in out)]
     return [(n, m, c, spans[a][0], spans[b - 1][1]) for n, m, c, a, b in out]
 
 
@@ -155,8 +224,10 @@ def scan(texts: list[str | None], index: Index, band: int = BAND, min_coverage:
     for s, t in zip(starts, tokens):
         flat[s : s + len(t)] = t
     hits: dict[int, list[tuple[int, int, int]]] = {}
-    for size, known in index.sorted.items():
-        if not len(known) or len(flat) < size:
+    before = max(map(len, index.tokens), default=0) + band  # diagonals are from -before to the longest text + band
+    far = int(sizes.max(initial=0)) + 2 * before + 1
+    for size, (known, begin, template, place) in index.grams.items():
+        if len(flat) < size:
             continue
         at = np.flatnonzero(flat[: len(flat) - size + 1])
         for j in range(1, size):
@@ -164,10 +235,32 @@ def scan(texts: list[str | None], index: Index, band: int = BAND, min_coverage:
         h = np.zeros(len(at), dtype=np.uint64)
         for j in range(size):
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + index.hash[flat[at + j]])
-        ok = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-        doc = np.searchsorted(starts, at[ok], side="right") - 1
-        for d, p, x in zip(doc.tolist(), (at[ok] - starts[doc]).tolist(), h[ok].tolist()):
-            hits.setdefault(d, []).extend((t, q, p) for t, q in index.grams[size][x])
+        g = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        ok = known[g] == h
+        at, g = at[ok], g[ok]
+        doc = np.searchsorted(starts, at, side="right") - 1
+        ends = np.cumsum(begin[g + 1] - begin[g])
+        s = 0
+        while s < len(at):
+            done = ends[s - 1] if s else 0
+            e = max(int(np.searchsorted(ends, done + CHUNK, side="right")), int(np.searchsorted(doc, doc[s], side="right")))
+            if e < len(at):  # whole documents
+                e = int(np.searchsorted(doc, doc[e], side="left"))
+            n = begin[g[s:e] + 1] - begin[g[s:e]]
+            of = np.repeat(np.arange(s, e), n)
+            posting = begin[g[of]] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            t, d = template[posting], doc[of]
+            position = at[of] - starts[d]
+            diagonal = position - place[posting]
+            key = (t * len(texts) + d) * far + diagonal + before
+            order = np.argsort(key)
+            key, t = key[order], t[order]
+            reach = np.minimum(index.reach[t], band)
+            near = np.searchsorted(key, key + reach, side="right") - np.searchsorted(key, key - reach, side="left")
+            keep = near >= index.need[t]
+            for x, i in zip(t[keep].tolist(), order[keep].tolist()):
+                hits.setdefault(int(d[i]), []).append((x, int(diagonal[i]), int(position[i])))
+            s = e
     return [scan_text(texts[d], tokens[d], hits[d], index, band, min_coverage) if d in hits else [] for d in range(len(texts))]
 
 
@@ -200,8 +293,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, k:
 
     Tokens are runs of word characters, without case. An occurrence is an alignment, within ``band`` tokens of the
     diagonal of a shared fingerprint, that matches at least ``min_coverage`` of the template's tokens, and of those
-    of the span, in order. Occurrences of one template don't overlap; one that lies within an occurrence of another
-    template that matches more tokens isn't reported. Null, empty and wordless texts
+    of the span, in order; each such alignment has a fingerprint. Occurrences of one template don't overlap; one that lies within an occurrence of another
+    template that matches more tokens, or as many and more of its template, isn't reported. Null, empty and wordless texts
     have none. A null doc_id is returned as null; repeated rows are reported once each; other columns are
     ignored, whatever their names. Texts are scanned whole. Templates that exceed ``GROUP_TOKENS`` are scanned
     in several passes.
@@ -210,7 +303,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, k:
     own = own.withColumn("doc_id", own["doc_id"].cast("bigint"))
     out = None
     for group in _groups(templates):
-        part = own.mapInArrow(_run(Index(group, k, window), band, min_coverage), FINDING)
+        part = own.mapInArrow(_run(Index(group, k, window, min_coverage), band, min_coverage), FINDING)
         out = part if out is None else out.unionByName(part)
     return out
 

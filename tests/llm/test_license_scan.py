@@ -76,3 +76,84 @@ def test_groups_of_templates(spark, monkeypatch):
     monkeypatch.setattr(L, "GROUP_TOKENS", 50)
     df = spark.createDataFrame([(1, TEMPLATES["mit"]), (2, TEMPLATES["isc"])], "doc_id int, text string")
     assert sorted((r.doc_id, r.license) for r in L.scan_licenses(df).collect()) == [(1, "mit"), (2, "isc")]
+
+
+def full_alignment(doc, want):
+    """Whether some span of doc matches 0.8 of the template's tokens, and of its own, in order: all spans, whole tables."""
+    for a in range(len(doc)):
+        row = [0] * (len(want) + 1)
+        for b in range(a, len(doc)):
+            new = [0]
+            for i, t in enumerate(want):
+                new.append(row[i] + 1 if t == doc[b] else max(row[i + 1], new[i]))
+            row = new
+            if row[-1] >= L.MIN_COVERAGE * max(len(want), b + 1 - a):
+                return True
+    return False
+
+
+def changed(tokens):
+    """Every change, deletion and insertion of one word."""
+    for i in range(len(tokens) + 1):
+        yield tokens[:i] + ["zzz"] + tokens[i:]
+        yield tokens[:i] + ["the"] + tokens[i:]
+    for i in range(len(tokens)):
+        yield tokens[:i] + tokens[i + 1 :]
+        yield tokens[:i] + ["zzz"] + tokens[i + 1 :]
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_every_change_of_one_word_against_the_full_alignment(name):
+    alone = L.Index({name: TEMPLATES[name]}, L.K, L.WINDOW)
+    want = L.words(TEMPLATES[name])
+    docs = [["of", "the", "x", *d, "y", "and", "the"] for d in changed(want)]
+    docs = docs[:: 1 if len(want) <= 20 else 7]
+    found = L.scan([" ".join(d) for d in docs], alone)
+    expected = [True] * len(docs) if len(want) > 20 else [full_alignment(d, want) for d in docs]
+    assert [bool(f) for f in found] == expected
+
+
+def test_random_changes_against_the_full_alignment():
+    import random
+
+    rng = random.Random(5)
+    kept = 0
+    for name, text in TEMPLATES.items():
+        want = L.words(text)
+        if len(want) > 20:
+            continue
+        alone = L.Index({name: text}, L.K, L.WINDOW)
+        docs = []
+        for _ in range(150):
+            d = list(want) * rng.randint(1, 2)
+            for _ in range(rng.randint(1, 6)):
+                i = rng.randrange(len(d) + 1)
+                d[i : i + rng.randint(0, 1)] = [rng.choice([*want, "zzz"])] * rng.randint(0, 2)
+            docs.append(d)
+        expected = [full_alignment(d, want) for d in docs]
+        kept += sum(expected)
+        assert [bool(f) for f in L.scan([" ".join(d) for d in docs], alone)] == expected
+    assert kept > 300
+
+
+def test_notices_that_miss_a_fingerprint_of_three_words(index):
+    assert [f[:2] for f in L.scan(["Released under MIT License."], index)[0]] == [("mit-line", 4)]
+    assert [f[:2] for f in L.scan(["Licensed under the CC BY 4.0"], index)[0]] == [("cc-by-4.0-line", 6)]
+    # two changed copies side by side are two; the dense part of a notice with a word far ahead is one
+    assert len(L.scan(["Released under MIT License. Released under MIT License."], index)[0]) == 2
+    assert [f[1] for f in L.scan(["Released x under the y MIT License"], index)[0]] == [4]
+
+
+def test_chunks_of_hits(index, monkeypatch):
+    texts = [None, "", *TEMPLATES.values(), "of the " * 50, " ".join(TEMPLATES.values())]
+    whole = L.scan(texts, index)
+    monkeypatch.setattr(L, "CHUNK", 1)
+    assert L.scan(texts, index) == whole
+
+
+def test_higher_coverage_is_winnowed():
+    high = L.Index({"mit": TEMPLATES["mit"]}, L.K, L.WINDOW, 0.95)
+    assert len(high.grams[L.K][2]) < len(L.words(TEMPLATES["mit"])) * 2 // 3
+    words = TEMPLATES["mit"].split()
+    assert all(L.scan([" ".join(words[:i] + ["zzz"] + words[i + 1 :])], high, min_coverage=0.95)[0] for i in range(0, len(words), 7))
+    assert L.scan([TEMPLATES["mit"]], L.Index(TEMPLATES, L.K, L.WINDOW, 1.1), min_coverage=1.1) == [[]]
