@@ -5,8 +5,8 @@ and an n-gram of level q is put into a Bloom filter as (n-gram, 1) ... (n-gram,
 (n-gram, 1), (n-gram, 2), ... until one is missing. Probabilities are interpolated from the counts so read.
 
 The filter is built in shards by hash range, in parallel. If all shards together are small enough they are broadcast
-and each worker scores its documents alone. If not, the probes go to the shards and the levels come back, by joins;
-the bits, and so the scores, are the same.
+and each worker scores its documents alone. If not, the probes are grouped by shard, each shard answers all of its
+probes at once, and the levels come back by a join; the bits, and so the scores, are the same.
 """
 
 from __future__ import annotations
@@ -311,15 +311,17 @@ def _asked(model: Model):
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, asked, bits, field) -> (part, asked, levels)."""
-    for b in batches:
-        out = []
-        for asked, bits, raw in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
-            h = unpack(asked)[0]
-            n = np.zeros(len(h), dtype=np.int64)
-            out.append(read_levels(h, np.frombuffer(raw, dtype=np.uint8), n.astype(np.uint64) + np.uint64(bits), n).astype(np.uint8).tobytes())
-        yield batch_of({"part": (b.column(0), None), "asked": (b.column(1), None), "levels": (out, pa.binary())})
+def _answer(asked: pa.Table, shards: pa.Table) -> pa.Table:
+    """What all parts ask one shard -> (part, asked, levels); the shard's field is read once."""
+    if not shards.num_rows:  # nothing of it was ever counted
+        return asked.select(["part", "asked"]).slice(0, 0).append_column("levels", pa.array([], pa.binary()))
+    bits, field = np.uint64(shards.column("bits")[0].as_py()), np.frombuffer(shards.column("field")[0].as_py(), dtype=np.uint8)
+    out = []
+    for a in asked.column("asked"):
+        h = unpack(a.as_py())[0]
+        n = np.zeros(len(h), dtype=np.int64)
+        out.append(read_levels(h, field, n.astype(np.uint64) + bits, n).astype(np.uint8).tobytes())
+    return asked.select(["part", "asked"]).append_column("levels", pa.array(out, pa.binary()))
 
 
 def _score_with(model: Model):
@@ -359,7 +361,7 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
     is null, empty or without a word have 0 tokens and null scores; null ids are returned as null; repeated rows
     are counted and scored as often as they come. Other columns are ignored, whatever their names. An empty table
     gives an empty one; an empty ``train`` gives every token the same probability. A filter of up to
-    ``broadcast_bytes`` is broadcast; beyond, probes are joined with its shards.
+    ``broadcast_bytes`` is broadcast; beyond, probes meet its shards in groups.
     """
     own = pick(docs, doc_id=id_col, text=text_col)
     own = own.withColumn("doc_id", own["doc_id"].cast("bigint"))
@@ -378,7 +380,7 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
     parts = max(1, math.ceil(model.tokens / GROUP_TOKENS))
     parted = own.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     asked = parted.groupBy("part").applyInArrow(_asked(model), "part bigint, bucket bigint, asked binary")
-    answers = asked.join(shards.select("bucket", "bits", "field"), "bucket").select("part", "asked", "bits", "field").mapInArrow(_answer, "part bigint, asked binary, levels binary")
+    answers = asked.groupBy("bucket").cogroup(shards.select("bucket", "bits", "field").groupBy("bucket")).applyInArrow(_answer, "part bigint, asked binary, levels binary")
     return parted.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score_with(model), SCORE)
 
 

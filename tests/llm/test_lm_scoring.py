@@ -85,3 +85,13 @@ def test_edges(spark, most):
     assert M.lm_scores(df.limit(0), broadcast_bytes=most).collect() == []
     flat = {r.doc_id: r.log2_prob for r in M.lm_scores(df, train=df.limit(0), broadcast_bytes=most).collect()}
     assert flat[3] == 0.0 or flat[3] < 0
+
+
+def test_a_shard_beyond_the_broadcast_is_sent_once_not_with_every_part(spark, sf, monkeypatch):
+    monkeypatch.setattr(M, "GROUP_TOKENS", 2_000)  # many parts
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scored = M.lm_scores(docs, broadcast_bytes=0)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapCoGroupsInArrow") == 2
+    key = lambda r: (r.doc_id, r.n_tokens, round(r.log2_prob or 0, 6))
+    assert sorted(map(key, scored.collect())) == sorted(map(key, M.lm_scores(docs).collect()))
