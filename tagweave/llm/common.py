@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, of which several results can be read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -99,16 +107,15 @@ def batch_of(columns: dict[str, tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, type=t) for v, t in columns.values()], names=list(columns))
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node, root = least node.
 
     Alternates large-star and small-star steps, which keep the components and end, after about
-    log(n) rounds, with each node joined straight to its least member. Each round is cut with a
-    checkpoint. Raises RuntimeError if ``rounds`` don't suffice.
+    log(n) rounds, with each node joined straight to its least member. Each round is cut with a checkpoint.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e)
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -122,4 +129,3 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if open_.isEmpty():
             roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-    raise RuntimeError(f"components aren't complete after {rounds} rounds")

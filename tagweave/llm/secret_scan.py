@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, pick
+from .common import batch_of, cut, pick, written
 
 
 class Rule(NamedTuple):
@@ -45,8 +45,14 @@ RULES: tuple[Rule, ...] = (
     Rule("assigned-secret", 1, ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "auth_key"), r"""(?i:\b[a-z0-9_.-]*(?:token|secret|password|passwd|api_?-?key|access_key|auth_key)["']?\s*(?:=|:=|:|=>)\s*["'][^\s"']{8,}["'])"""),
 )
 
-FINDING = "blob string, rule string, line_no int, match_no int, length int, secret_sha256 string, redacted string"
+#: The rules of the round before, in which an assigned secret was looked for after ``=`` and ``:`` only.
+PREVIOUS: tuple[Rule, ...] = tuple(r._replace(version=0, pattern=r.pattern.replace("(?:=|:=|:|=>)", "(?:=|:)")) if r.rule == "assigned-secret" else r for r in RULES)
+
+FINDING = "blob string, rule string, rule_version int, line_no int, match_no int, length int, secret_sha256 string, redacted string"
 LEDGER = "blob string, rule_key string, findings int"
+FINDING_COLUMNS = [c.split()[0] for c in FINDING.split(", ")]
+#: So many unseen blobs are broadcast (about 100 bytes each), and contents stay where they are; more meet them in a shuffle.
+BROADCAST_BLOBS = 500_000
 
 
 def blob_of(content: Column) -> Column:
@@ -54,7 +60,7 @@ def blob_of(content: Column) -> Column:
 
 
 def scan_text(text: str, rules: Sequence[tuple[Rule, re.Pattern]]) -> list[tuple]:
-    """(rule, line number from 0, number in its line from 0, length, hash, redacted) of each match."""
+    """(rule, version, line number from 0, number in its line from 0, length, hash, redacted) of each match."""
     out = []
     low = text.lower()
     for rule, pattern in rules:
@@ -63,74 +69,98 @@ def scan_text(text: str, rules: Sequence[tuple[Rule, re.Pattern]]) -> list[tuple
         for n, line in enumerate(text.split("\n")):
             for k, m in enumerate(pattern.finditer(line)):
                 s = m.group()
-                out.append((rule.rule, n, k, len(s), hashlib.sha256(s.encode()).hexdigest(), s[:4] + "*" * 4))
+                out.append((rule.rule, rule.version, n, k, len(s), hashlib.sha256(s.encode()).hexdigest(), s[:4] + "*" * 4))
     return out
 
 
 def _scan(rules: Sequence[Rule]):
+    """(blob, content, numbers of rules) -> findings, and rows of the ledger; each blob once in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {r.key: (r, re.compile(r.pattern, re.ASCII)) for r in rules}
+        compiled = [(r, re.compile(r.pattern, re.ASCII)) for r in rules]
+        seen: set[bytes] = set()
         for b in batches:
-            rows = []
-            for blob, text, keys in zip(*(b.column(k).to_pylist() for k in range(3))):
-                todo = [compiled[k] for k in keys]
-                found = scan_text(text, todo)
-                count = {r.rule: 0 for r, _ in todo}
-                for f in found:
-                    count[f[0]] += 1
-                rows += [(blob, *f, None, None) for f in found]
-                rows += [(blob, None, None, None, None, None, None, r.key, count[r.rule]) for r, _ in todo]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
-            names = ["blob", "rule", "line_no", "match_no", "length", "secret_sha256", "redacted", "rule_key", "findings"]
-            yield batch_of({n: ([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds))})
+            found, scanned = [], []
+            for blob, text, todo in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if (address := bytes.fromhex(blob)) in seen:
+                    continue
+                seen.add(address)
+                own = [(blob, *f) for f in scan_text(text, [compiled[k] for k in todo])]
+                count = dict.fromkeys((rules[k].rule for k in todo), 0)
+                for f in own:
+                    count[f[1]] += 1
+                found += own
+                scanned += [(blob, rules[k].key, count[rules[k].rule]) for k in todo]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            none, rest = [None] * len(scanned), [None] * len(found)
+            columns = {n: ([f[k] for f in found] + none, t) for k, (n, t) in enumerate(zip(FINDING_COLUMNS, kinds))}
+            columns["blob"] = ([f[0] for f in found] + [r[0] for r in scanned], pa.string())
+            yield batch_of(columns | {"rule_key": (rest + [r[1] for r in scanned], pa.string()), "findings": (rest + [r[2] for r in scanned], pa.int32())})
 
     return run
 
 
-def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Scan what the ledger lacks. versions(path, content) -> findings, and rows for the ledger (rule_key not null)."""
+def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES, broadcast_blobs: int = BROADCAST_BLOBS) -> DataFrame:
+    """Scan what the ledger lacks. versions(path, content) -> findings, and rows for the ledger (rule_key not null).
+
+    What is to be scanned is found out from hashes alone. One path of each unseen blob then brings its content: where
+    up to ``broadcast_blobs`` are unseen these are sent to the contents, so that no content moves; beyond that
+    both are shuffled by blob. Findings and ledger are the same.
+    """
     addressed = versions.where("content is not null").withColumn("blob", blob_of(F.col("content")))
-    blobs = addressed.groupBy("blob").agg(F.min("path").alias("at"), F.count("path").alias("paths"))
-    every = F.array(*[F.lit(r.key) for r in rules]).cast("array<string>")
+    blobs = addressed.groupBy("blob").agg(F.min("path").alias("at"))
+    every = F.lit([r.key for r in rules]).cast("array<string>") if rules else F.array().cast("array<string>")
     if ledger is None:
         todo = blobs.withColumn("keys", every)
     else:
         done = ledger.groupBy("blob").agg(F.collect_set("rule_key").alias("done"))
         todo = blobs.join(done, "blob", "left").withColumn("keys", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))))
-        todo = todo.where(F.size("keys") > 0)
-    todo = todo.select(F.col("blob").alias("b"), "at", "keys")
-    # one path of each blob carries its content; blobs that no path names come by any of their rows
-    unseen = addressed.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("at")))
-    return unseen.select("blob", "content", "keys").mapInArrow(_scan(rules), f"{FINDING}, rule_key string, findings int")
+    number = F.transform("keys", lambda k: (F.array_position(every, k) - 1).cast("int"))
+    todo = cut(todo.where(F.size("keys") > 0).select(F.xxhash64("blob").alias("hash"), F.col("blob").alias("b"), "at", number.alias("todo")))
+    # blobs that no path names come by any of their rows
+    same = (F.xxhash64("blob") == F.col("hash")) & F.col("path").eqNullSafe(F.col("at"))
+    if todo.count() <= broadcast_blobs:
+        unseen = addressed.join(F.broadcast(todo.drop("b")), same)
+    else:
+        unseen = addressed.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("at")))
+    return unseen.select("blob", "content", "todo").mapInArrow(_scan(rules), f"{FINDING}, rule_key string, findings int")
 
 
-def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: Sequence[Rule] = RULES, path_col: str = "path", content_col: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: Sequence[Rule] = RULES, path_col: str = "path", content_col: str = "content", broadcast_blobs: int = BROADCAST_BLOBS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings by path, new ledger rows, new findings by blob) of versions(path, content), old and current alike.
 
-    ``ledger(blob, rule_key, findings)`` and ``known`` (findings by blob) are what earlier calls returned: append
-    the new rows to them. A path that held the same content twice is reported once; a null path is one more path;
-    null contents have no blob and no findings; an empty content is a blob like others. Contents are scanned
-    whole, line by line. Secrets are never returned: their length, SHA-256 and first four characters are. Columns
-    but those named are ignored. Empty tables give empty results.
+    ``ledger(blob, rule_key, findings)`` and ``known`` (findings by blob, each of a rule's version) are what earlier
+    calls returned: append the new rows to them. Of known findings only those of the given rules in the given versions
+    count, so a rule whose version changed is scanned anew and its old findings are gone. The scan runs once, into a
+    table of the shared folder, which all three results read.
+
+    A path that held the same content twice, and a row that is repeated, is reported once; a null path is one more
+    path; null contents have no blob and no findings; an empty content is a blob like others. Of equal contents it
+    makes no difference which path brings them. Contents are scanned whole, line by line, however long. Secrets are
+    never returned: their length, SHA-256 and first four characters are. Columns but those named are ignored,
+    whatever their names. Empty tables, and no rules, give empty results.
     """
     own = pick(versions, path=path_col, content=content_col)
-    new = scan_blobs(own, ledger, rules).dropDuplicates(["blob", "rule", "line_no", "match_no", "rule_key"])
-    findings = new.where("rule_key is null").select("blob", "rule", "line_no", "match_no", "length", "secret_sha256", "redacted")
-    rows = new.where("rule_key is not null").select("blob", "rule_key", "findings")
-    return on_paths(own, findings if known is None else findings.unionByName(known.select(*findings.columns)), rules), rows, findings
+    new = written(scan_blobs(own, ledger, rules, broadcast_blobs), "secret-scan")
+    findings = new.where("rule_key is null").select(*FINDING_COLUMNS).dropDuplicates(["blob", "rule", "line_no", "match_no"])
+    rows = new.where("rule_key is not null").select("blob", "rule_key", "findings").dropDuplicates(["blob", "rule_key"])
+    every = findings if known is None else findings.unionByName(known.select(*FINDING_COLUMNS)).dropDuplicates(["blob", "rule", "rule_version", "line_no", "match_no"])
+    return on_paths(own, every, rules), rows, findings
 
 
 def on_paths(own: DataFrame, findings: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    version = F.create_map(*[x for r in rules for x in (F.lit(r.rule), F.lit(r.version))])
+    """path and finding, for every path of each finding's blob, of the rules in their present versions."""
     paths = own.where("content is not null").select("path", blob_of(F.col("content")).alias("blob")).distinct()
-    named = findings.where(F.col("rule").isin([r.rule for r in rules]))
-    return paths.join(named, "blob").select("path", "blob", "rule", version[F.col("rule")].alias("rule_version"), "line_no", "match_no", "length", "secret_sha256", "redacted")
+    current = findings.where(F.concat_ws("@", "rule", "rule_version").isin([r.key for r in rules]))
+    return paths.join(current, "blob").select("path", "blob", "rule", "rule_version", "line_no", "match_no", "length", "secret_sha256", "redacted")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """Secrets in ``documents``, each a version of the path doc_id, against an empty ledger."""
+    """Secrets in ``documents``, each a version of the path doc_id, in two rounds: half of the versions under the
+    rules before, which leaves a ledger; then all versions, of which only unseen pairs are scanned."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    return scan_secrets(docs)[0].withColumnRenamed("path", "doc_id")
+    _, ledger, known = scan_secrets(docs.where("pmod(xxhash64(path), 2) = 0"), rules=PREVIOUS)
+    return scan_secrets(docs, ledger, known)[0].withColumnRenamed("path", "doc_id")
 
 
 def _sql(pattern: str) -> str:

@@ -1,3 +1,5 @@
+import pytest
+
 from tagweave.llm import secret_scan as X
 
 KEY = "AKIA" + "ABCDEFGH12345678"
@@ -50,3 +52,35 @@ def test_edges(spark):
     assert all(KEY not in str(r) for r in found.collect())
     assert ledger.select("blob").distinct().count() == 4
     assert X.scan_secrets(df.limit(0))[0].collect() == []
+
+
+@pytest.mark.parametrize("most", [X.BROADCAST_BLOBS, 0])
+def test_a_rule_s_new_version_replaces_its_old_findings(spark, most):
+    rows = versions(spark, [("a", f"x {KEY}", 0), ("b", ASSIGN, 0), ("b", ASSIGN, 0), ("c", f"{ASSIGN} {KEY}", 0)])
+    old = [r for r in X.RULES if r.rule in ("aws-access-key-id", "assigned-secret")]
+    _, ledger, known = X.scan_secrets(rows.where("path <> 'c'"), rules=old, broadcast_blobs=most)
+    assert sorted((r.rule, r.rule_version) for r in known.collect()) == [("assigned-secret", 1), ("aws-access-key-id", 1)]
+
+    def again(changed):
+        found, new, _ = X.scan_secrets(rows, ledger, known, changed, broadcast_blobs=most)
+        return sorted((r.path, r.rule, r.rule_version) for r in found.collect()), sorted(r.rule_key for r in new.collect())
+
+    # the same pattern under a new version: each secret once, and of the new version
+    same = [r._replace(version=7) if r.rule == "aws-access-key-id" else r for r in old]
+    found, keys = again(same)
+    assert found == [("a", "aws-access-key-id", 7), ("b", "assigned-secret", 1), ("c", "assigned-secret", 1), ("c", "aws-access-key-id", 7)]
+    assert keys == ["assigned-secret@1"] + ["aws-access-key-id@7"] * 3  # known blobs are scanned for that rule alone
+    # a pattern that matches nothing: the old findings are gone
+    none = [r._replace(version=8, pattern="nothing like it") if r.rule == "aws-access-key-id" else r for r in old]
+    assert again(none)[0] == [("b", "assigned-secret", 1), ("c", "assigned-secret", 1)]
+    # a rule that is left out has no findings
+    assert again(old[1:])[0] == [("b", "assigned-secret", 1), ("c", "assigned-secret", 1)]
+
+
+def test_contents_do_not_move_where_the_unseen_blobs_are_broadcast(spark):
+    rows = versions(spark, [(str(k), f"{k} {KEY}", 0) for k in range(20)] * 2)
+    for most in (0, 20):
+        plan = X.scan_blobs(rows.select("path", "content"), broadcast_blobs=most)._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (most > 0) and ("ShuffledHashJoin" in plan) == (most == 0)
+    counted = [sorted(map(tuple, X.scan_secrets(rows, broadcast_blobs=most)[0].collect())) for most in (0, 20)]
+    assert counted[0] == counted[1] and len(counted[0]) == 20
