@@ -14,7 +14,9 @@ an occurrence has at least are dropped before the alignment, which loses nothing
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,13 @@ K = 3
 WINDOW = 4
 BAND = 8
 MIN_COVERAGE = 0.8
-#: Templates are scanned in groups of at most this many tokens, so that what travels stays small.
-GROUP_TOKENS = 2_000_000
 #: Hits are expanded for so many (position, template) pairs at once, or for one document.
 CHUNK = 2_000_000
+NEED = 1 << 32  # more than any template's tokens
+#: Templates of so many tokens get shorter k-grams, if an occurrence has many hits only so.
+LONG = 64
+#: Of templates that take so many hits, diagonals are aligned the best supported first, and not where they add no hit.
+MANY = 32
 
 FINDING = "doc_id bigint, license string, matched_tokens int, coverage double, span_start int, span_end int"
 
@@ -137,7 +142,7 @@ def trim(doc: list[int], template: list[int], lo: int, hi: int, min_coverage: fl
 
 
 class Index:
-    """Inverted index of the winnowed fingerprints of a group of templates, for occurrences of min_coverage at least."""
+    """Inverted index of the winnowed fingerprints of templates, for occurrences of min_coverage at least."""
 
     def __init__(self, templates: Mapping[str, str], k: int, window: int, min_coverage: float = MIN_COVERAGE) -> None:
         self.names = list(templates)
@@ -154,21 +159,26 @@ class Index:
             if not allowed:
                 continue
             run = min(-(-n // (missing + extra + 1)) for n, missing, extra in allowed)
-            size = min(k, run)
-            keep = min(window, run - size + 1)
+            for size, keep in ((i, j) for i in range(min(k, run), 0, -1) for j in range(min(window, run - i + 1), 0, -1)):
+                # a run of r tokens has (r - size + 1) // keep fingerprints at least
+                need = min(-(-(n - (size + keep - 2) * (missing + extra + 1)) // keep) for n, missing, extra in allowed)
+                if len(ids) < LONG or need * 8 >= len(ids):
+                    break
             self.reach[t] = max(max(missing, extra) for _, missing, extra in allowed)
-            if keep == 1:
-                self.need[t] = max(1, min(n - (size - 1) * (missing + extra + 1) for n, missing, extra in allowed))
+            self.need[t] = max(1, need)
             into = grams.setdefault(size, {})
             h = gram_hashes(self.hash[ids], size)
             for p in winnow(h, keep):
                 into.setdefault(int(h[p]), []).append((t, p))
-        #: By size: sorted hashes, where the postings of each begin and end, and the postings' templates and positions.
+        #: By size: sorted hashes, where the postings of each begin, the postings' hash numbers and needs as one sorted
+        #: number, and their templates and positions.
         self.grams = {}
         for size, g in grams.items():
             known = sorted(g)
-            posted = np.array([x for h in known for x in g[h]], dtype=np.int64)
-            self.grams[size] = (np.array(known, dtype=np.uint64), np.cumsum([0, *(len(g[h]) for h in known)]), posted[:, 0], posted[:, 1])
+            posted = np.array([x for h in known for x in sorted(g[h], key=lambda x: self.need[x[0]])], dtype=np.int64)
+            begin = np.cumsum([0, *(len(g[h]) for h in known)])
+            needs = np.repeat(np.arange(len(known)), np.diff(begin)) * NEED + self.need[posted[:, 0]]
+            self.grams[size] = (np.array(known, dtype=np.uint64), begin, needs, posted[:, 0], posted[:, 1])
 
 
 def scan_text(text: str, tokens: list[int], hits: list[tuple[int, int, int]], index: Index, band: int, min_coverage: float) -> list[tuple]:
@@ -189,23 +199,57 @@ def scan_text(text: str, tokens: list[int], hits: list[tuple[int, int, int]], in
                 whole = c + m
                 found.add((m, c, whole))
                 inside.update(range(c, whole))
-        for c, at in diagonals.items():
+        many = index.need[t] >= MANY
+        for c, at in sorted(diagonals.items(), key=lambda x: -len(x[1])) if many else diagonals.items():
             if inside.issuperset(at):  # what overlaps a whole occurrence isn't reported
                 continue
             f = align(tokens, template, c, reach)
+            if many and f[0] >= min_coverage * max(m, f[2] - f[1]):
+                inside.update(range(f[1], f[2]))
             if min_coverage * m <= f[0] < min_coverage * (f[2] - f[1]):  # less of it may be dense enough
                 f = trim(tokens, template, c - reach, c + m + reach, min_coverage)
             found.add(f)
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # sorted; they don't overlap
         for matched, a, b in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
-            if not matched or matched < min_coverage * max(m, b - a) or any(a < y and x < b for x, y in taken):
+            if not matched or matched < min_coverage * max(m, b - a):
                 continue
-            taken.append((a, b))
+            at = bisect_left(taken, (a, b))
+            if at < len(taken) and taken[at][0] < b or at and taken[at - 1][1] > a:
+                continue
+            taken.insert(at, (a, b))
             if spans is None:
                 spans = [m.span() for m in WORD.finditer(text)]
             out.append((index.names[t], matched, matched / m, a, b))
-    out = [f for f in out if not any(g[1:3] > f[1:3] and g[3] <= f[3] and f[4] <= g[4] for g in out)]
-    return [(n, m, c, spans[a][0], spans[b - 1][1]) for n, m, c, a, b in out]
+    return [(n, m, c, spans[a][0], spans[b - 1][1]) for n, m, c, a, b in outermost(out)]
+
+
+def outermost(found: list[tuple]) -> list[tuple]:
+    """Of (name, matched, coverage, a, b) those that lie in none that matches more tokens, or as many and more of its template.
+
+    One sweep from the surest on: ``ends`` has, sorted by start, the spans of surer findings that lie in no other of
+    them, so their ends are sorted too, and the last that starts at or before ``a`` is the one that reaches furthest.
+    """
+    starts: list[int] = []
+    ends: list[int] = []
+    inside: set[int] = set()
+    order = sorted(range(len(found)), key=lambda k: found[k][1:3], reverse=True)
+    for _, alike in groupby(order, key=lambda k: found[k][1:3]):
+        alike = list(alike)
+        for k in alike:
+            at = bisect_right(starts, found[k][3]) - 1
+            if at >= 0 and ends[at] >= found[k][4]:
+                inside.add(k)
+        for k in alike:  # equally sure ones don't hide each other
+            a, b = found[k][3:]
+            at = bisect_right(starts, a) - 1
+            if at >= 0 and ends[at] >= b:
+                continue
+            first = bisect_left(starts, a)
+            last = first
+            while last < len(ends) and ends[last] <= b:
+                last += 1
+            starts[first:last], ends[first:last] = [a], [b]
+    return [f for k, f in enumerate(found) if k not in inside]
 
 
 def doc_words(text: str) -> list[str]:
@@ -226,7 +270,7 @@ def scan(texts: list[str | None], index: Index, band: int = BAND, min_coverage:
     hits: dict[int, list[tuple[int, int, int]]] = {}
     before = max(map(len, index.tokens), default=0) + band  # diagonals are from -before to the longest text + band
     far = int(sizes.max(initial=0)) + 2 * before + 1
-    for size, (known, begin, template, place) in index.grams.items():
+    for size, (known, begin, needs, template, place) in index.grams.items():
         if len(flat) < size:
             continue
         at = np.flatnonzero(flat[: len(flat) - size + 1])
@@ -239,14 +283,17 @@ def scan(texts: list[str | None], index: Index, band: int = BAND, min_coverage:
         ok = known[g] == h
         at, g = at[ok], g[ok]
         doc = np.searchsorted(starts, at, side="right") - 1
-        ends = np.cumsum(begin[g + 1] - begin[g])
+        # templates that need more hits than the document has of this size can't be in it: their postings are the last
+        amount = np.searchsorted(needs, g * NEED + np.bincount(doc, minlength=len(tokens))[doc], side="right") - begin[g]
+        at, g, doc, amount = (x[amount > 0] for x in (at, g, doc, amount))
+        ends = np.cumsum(amount)
         s = 0
         while s < len(at):
             done = ends[s - 1] if s else 0
             e = max(int(np.searchsorted(ends, done + CHUNK, side="right")), int(np.searchsorted(doc, doc[s], side="right")))
             if e < len(at):  # whole documents
                 e = int(np.searchsorted(doc, doc[e], side="left"))
-            n = begin[g[s:e] + 1] - begin[g[s:e]]
+            n = amount[s:e]
             of = np.repeat(np.arange(s, e), n)
             posting = begin[g[of]] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             t, d = template[posting], doc[of]
@@ -264,19 +311,6 @@ def scan(texts: list[str | None], index: Index, band: int = BAND, min_coverage:
     return [scan_text(texts[d], tokens[d], hits[d], index, band, min_coverage) if d in hits else [] for d in range(len(texts))]
 
 
-def _groups(templates: Mapping[str, str]) -> Iterator[dict[str, str]]:
-    group: dict[str, str] = {}
-    size = 0
-    for name, text in templates.items():
-        n = len(words(text))
-        if group and size + n > GROUP_TOKENS:
-            yield group
-            group, size = {}, 0
-        group[name] = text
-        size += n
-    yield group
-
-
 def _run(index: Index, band: int, min_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,19 +327,19 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, k:
 
     Tokens are runs of word characters, without case. An occurrence is an alignment, within ``band`` tokens of the
     diagonal of a shared fingerprint, that matches at least ``min_coverage`` of the template's tokens, and of those
-    of the span, in order; each such alignment has a fingerprint. Occurrences of one template don't overlap; one that lies within an occurrence of another
-    template that matches more tokens, or as many and more of its template, isn't reported. Null, empty and wordless texts
-    have none. A null doc_id is returned as null; repeated rows are reported once each; other columns are
-    ignored, whatever their names. Texts are scanned whole. Templates that exceed ``GROUP_TOKENS`` are scanned
-    in several passes.
+    of the span, in order; each such alignment has a fingerprint. Occurrences of one template don't overlap: the one
+    that matches more stays, of equals the shorter, then the earlier. One that lies within an occurrence of another
+    template that matches more tokens, or as many and more of its template, isn't reported; of two that match
+    alike both are.
+
+    Null, empty and wordless texts have none. A null doc_id is returned as null; repeated rows are reported once
+    each; other columns are ignored, whatever their names; an empty table gives an empty one. Texts are scanned
+    whole, however long. Templates are the caller's constants, not data: their index travels with the plan, about
+    100 bytes for each of their tokens.
     """
     own = pick(docs, doc_id=id_col, text=text_col)
     own = own.withColumn("doc_id", own["doc_id"].cast("bigint"))
-    out = None
-    for group in _groups(templates):
-        part = own.mapInArrow(_run(Index(group, k, window, min_coverage), band, min_coverage), FINDING)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return own.mapInArrow(_run(Index(templates, k, window, min_coverage), band, min_coverage), FINDING)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

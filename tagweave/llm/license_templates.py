@@ -1,4 +1,6 @@
-"""Templates of licence notices: public, widely used wordings, and the short lines that announce them."""
+"""Templates of licence notices: whole licences, headers, and the short lines that announce them; all public texts."""
+
+from importlib.resources import files
 
 TEMPLATES: dict[str, str] = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -46,3 +48,6 @@ commercial or non-commercial, and by any means.""",
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "all-rights-reserved": "All rights reserved.",
 }
+
+#: Whole licences, without how to apply them, from the folder beside this module.
+TEMPLATES |= {p.name.removesuffix(".txt"): p.read_text() for p in sorted((files(__package__) / "licenses").iterdir(), key=lambda p: p.name) if p.name.endswith(".txt")}
