@@ -4,9 +4,10 @@ N-grams of all documents are counted. Counts are quantised to levels q (level j
 and an n-gram of level q is put into a Bloom filter as (n-gram, 1) ... (n-gram, q). A count is read back by probing
 (n-gram, 1), (n-gram, 2), ... until one is missing. Probabilities are interpolated from the counts so read.
 
-The filter is built in shards by hash range, in parallel. If all shards together are small enough they are broadcast
-and each worker scores its documents alone. If not, the probes are grouped by shard, each shard answers all of its
-probes at once, and the levels come back by a join; the bits, and so the scores, are the same.
+The filter is built in shards by hash range, in parallel. While all shards together are bound to be small they are
+broadcast and each worker scores its documents alone. Beyond that nothing is broadcast: what is counted in a slice of
+documents is also what the slice asks for, so the task that builds a shard answers all that was counted into it, and
+the levels go back to the slices. The n-grams are shuffled once in either way, and the bits, and so the scores, are the same.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, mix64, pick, shuffle_parts, slices, words
+from .common import batch_of, cut, mix64, pick, shuffle_parts, slices, words, written
 
 ORDER = 2
 BASE = 1.5
@@ -32,7 +33,7 @@ DISCOUNT = 0.6
 BACKOFF = 0.4
 BROADCAST_BYTES = 128 << 20
 FLUSH = 3_000_000
-GROUP_TOKENS = 1_000_000
+CHARS_PER_SHARD = 16_000_000
 
 _TAG = np.uint64(3)
 _BEGIN = np.uint64(0x5851F42D4C957F2D)
@@ -141,33 +142,73 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return h[starts], np.add.reduceat(c, starts) if len(starts) else c
 
 
-def _count(order: int, buckets: int):
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        to = bucket_of(h, buckets)
-        starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(h) else np.zeros(0, dtype=np.int64)
-        ends = np.r_[starts[1:], len(h)]
-        return batch_of({"bucket": (to[starts].astype(np.int64), pa.int64()), "payload": ([pack(h[s:e], c[s:e]) for s, e in zip(starts, ends)], pa.binary())})
+class Counted(NamedTuple):
+    """Documents that are counted together: ids, tokens of each, their distinct n-grams (sorted) and how often they come."""
+
+    ids: list
+    sizes: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+    grams: list[np.ndarray]  # by order: the n-gram that ends at each token
+
+    def at(self) -> list[np.ndarray]:
+        return [np.searchsorted(self.keys, g) for g in self.grams]
+
+
+def counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[Counted]:
+    """(doc_id, text) in slices of about ``FLUSH`` n-grams; the begin mark, as a history, is among them."""
+
+    def flush() -> Counted:
+        each = [np.concatenate(g) for g in grams]
+        n = np.concatenate(sizes)
+        keys, counts = np.unique(np.concatenate(each), return_counts=True)
+        begin = begin_key()
+        at = int(np.searchsorted(keys, begin))
+        return Counted(ids, n, np.insert(keys, at, begin), np.insert(counts, at, (n > 0).sum()), each)
+
+    ids, sizes, grams, size = [], [], [[] for _ in range(order)], 0
+    for b in batches:
+        own, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for part in slices(texts):
+            t = tokens_of(texts[part])
+            ids += own[part]
+            sizes.append(t.sizes)
+            for held, g in zip(grams, ngrams(t, order)):
+                held.append(g)
+            size += len(t.hashes) * order
+            if size >= FLUSH:
+                yield flush()
+                ids, sizes, grams, size = [], [], [[] for _ in range(order)], 0
+    if ids:
+        yield flush()
+
+
+def _identified(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int, Counted]]:
+    """Slices with a number that their place and their n-grams give."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId() << 24
+    for n, c in enumerate(counted(batches, order)):
+        yield xxhash.xxh3_64_intdigest(c.keys.tobytes(), seed=task + n) >> 1, c
+
+
+def _count(order: int, buckets: int, ask: bool = False, count: bool = True):
+    """(doc_id, text) -> n-grams with their counts, by slice (null: it asks for nothing) and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in slices(texts):
-                t = tokens_of(texts[part])
-                held += ngrams(t, order)
-                held.append(np.full(int((t.sizes > 0).sum()), begin_key()))  # the begin mark, as a history
-                size += len(t.hashes) * order
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
+        for slice_, c in _identified(batches, order):
+            to = bucket_of(c.keys, buckets)
+            starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            ends = np.r_[starts[1:], len(to)]
+            n = c.counts if count else np.zeros_like(c.counts)
+            yield batch_of({"slice": ([slice_ if ask else None] * len(starts), pa.int64()), "bucket": (to[starts].astype(np.int64), pa.int64()), "payload": ([pack(c.keys[s:e], n[s:e]) for s, e in zip(starts, ends)], pa.binary())})
 
     return run
 
 
+COUNTED = "slice bigint, bucket bigint, payload binary"
+
+
 # -- the filter
 
 
@@ -182,8 +223,7 @@ def build(h: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     """(number of bits, bytes) of the shard that holds these n-grams."""
     q = level(counts)
     bits = max(64, int(q.sum() * BITS_PER_ENTRY))
-    if bits >= 1 << 32:
-        raise ValueError("a shard of the filter has over 2**32 bits; raise spark.sql.shuffle.partitions")
+    assert bits < 1 << 32, "shards are far smaller, as their number follows the text"
     field = np.zeros(bits, dtype=np.uint8)
     size = np.uint64(bits)
     j = 1
@@ -219,15 +259,36 @@ def read_levels(h: np.ndarray, field: np.ndarray, bits: np.ndarray, offset: np.n
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    h, c = merge([unpack(b) for b in table.column("payload").to_pylist()])
-    bits, field = build(h, c)
-    word = (h & _TAG) == 1
-    begin = h == begin_key()
-    row = {"bucket": table.column("bucket")[0].as_py(), "bits": bits, "field": field, "ngrams": len(h), "words": int((word & ~begin).sum()), "tokens": int(c[word & ~begin].sum())}
-    return pa.table({k: [v] for k, v in row.items()}, schema=pa.schema([("bucket", pa.int64()), ("bits", pa.int64()), ("field", pa.binary()), ("ngrams", pa.int64()), ("words", pa.int64()), ("tokens", pa.int64())]))
+    bits, field, words, tokens = _built([unpack(b) for b in table.column("payload").to_pylist()])
+    row = {"bucket": table.column("bucket")[0].as_py(), "bits": bits, "field": field, "words": words, "tokens": tokens}
+    return pa.table({k: [v] for k, v in row.items()}, schema=pa.schema([("bucket", pa.int64()), ("bits", pa.int64()), ("field", pa.binary()), ("words", pa.int64()), ("tokens", pa.int64())]))
+
+
+def _built(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, bytes, int, int]:
+    """(bits, field) of a shard, and how many distinct words and tokens were counted into it."""
+    h, c = merge(parts)
+    h, c = h[c > 0], c[c > 0]
+    word = ((h & _TAG) == 1) & (h != begin_key())
+    return *build(h, c), int(word.sum()), int(c[word].sum())
 
 
-SHARD = "bucket bigint, bits bigint, field binary, ngrams bigint, words bigint, tokens bigint"
+def _answer(table: pa.Table) -> pa.Table:
+    """All n-grams of a shard -> levels of those that each slice asks for, in their order; and a row of totals."""
+    parts = [unpack(b) for b in table.column("payload").to_pylist()]
+    bits, field, words, tokens = _built(parts)
+    field = np.frombuffer(field, dtype=np.uint8)
+    slices_, out = [None], [None]
+    for slice_, (h, _) in zip(table.column("slice").to_pylist(), parts):
+        if slice_ is not None:
+            n = np.zeros(len(h), dtype=np.int64)
+            slices_.append(slice_)
+            out.append(read_levels(h, field, n.astype(np.uint64) + np.uint64(bits), n).astype(np.uint8).tobytes())
+    rest = [None] * (len(out) - 1)
+    return pa.table({"slice": pa.array(slices_, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int64()), "levels": pa.array(out, pa.binary()), "words": pa.array([words, *rest], pa.int64()), "tokens": pa.array([tokens, *rest], pa.int64())})
+
+
+SHARD = "bucket bigint, bits bigint, field binary, words bigint, tokens bigint"
+ANSWER = "slice bigint, bucket bigint, levels binary, words bigint, tokens bigint"
 
 
 class Model(NamedTuple):
@@ -236,44 +297,35 @@ class Model(NamedTuple):
     tokens: int
     words: int
 
-    def keys(self, t: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(distinct 1-gram keys: of the vocabulary, then the begin mark; keys of higher orders by token)."""
-        vocab = (mix64(t.vocab) & ~_TAG) | np.uint64(1)
-        return np.append(vocab, begin_key()), ngrams(t, self.order)[1:]
-
-    def score(self, t: Tokens, vocab_levels: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    def score(self, sizes: np.ndarray, levels: list[np.ndarray], begin: int) -> np.ndarray:
         """log2 probability of each token: discounted relative frequencies of the quantised counts, interpolated.
 
+        ``levels``: of the 1-gram, 2-gram, ... that ends at each token; ``begin``: of the begin mark.
         P(w) = (c(w) + 1) / (N + V + 1); P(w | h) = s + (1 - s) BACKOFF P(w | h'), s = max(c(hw) - DISCOUNT, 0) / c(h).
         Counts of a history that are less than those of what follows it (both are rounded) are raised to them.
         """
-        count = MIDDLE[vocab_levels]
-        p = (count[t.at] + 1) / (self.tokens + self.words + 1)
-        first = np.cumsum(t.sizes) - t.sizes
-        started = first[t.sizes > 0]
-        history = np.empty(len(t.at))
-        history[1:] = count[t.at[:-1]] if len(t.at) else []
-        history[started] = count[-1]
-        for got in levels:
+        c = MIDDLE[levels[0]]
+        p = (c + 1) / (self.tokens + self.words + 1)
+        started = (np.cumsum(sizes) - sizes)[sizes > 0]
+        for got in levels[1:]:
+            history = np.empty_like(c)
+            history[1:] = c[:-1]
+            history[started] = MIDDLE[begin]
             c = MIDDLE[got]
             total = np.maximum(history, c)
             seen = np.where(total > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1), 0)
             p = seen + (1 - seen) * BACKOFF * p
-            shifted = np.empty_like(c)
-            shifted[1:] = c[:-1]
-            shifted[started] = count[-1]
-            history = shifted
         return np.log2(p)
 
 
-def _result(ids: list, t: Tokens, logs: np.ndarray) -> pa.RecordBatch:
-    ends = np.cumsum(t.sizes)
+def _result(ids: list, sizes: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+    ends = np.cumsum(sizes)
     sums = np.concatenate([[0.0], np.cumsum(logs)])
-    total = sums[ends] - sums[ends - t.sizes]
-    none = t.sizes == 0
+    total = sums[ends] - sums[ends - sizes]
+    none = sizes == 0
     with np.errstate(divide="ignore", invalid="ignore"):
-        ppl = np.exp2(-total / t.sizes)
-    return batch_of({"doc_id": (ids, pa.int64()), "n_tokens": (t.sizes, pa.int64()), "log2_prob": (pa.array(np.where(none, 0, total), mask=none), None), "perplexity": (pa.array(np.where(none, 0, ppl), mask=none), None)})
+        ppl = np.exp2(-total / sizes)
+    return batch_of({"doc_id": (ids, pa.int64()), "n_tokens": (sizes, pa.int64()), "log2_prob": (pa.array(np.where(none, 0, total), mask=none), None), "perplexity": (pa.array(np.where(none, 0, ppl), mask=none), None)})
 
 
 SCORE = "doc_id bigint, n_tokens bigint, log2_prob double, perplexity double"
@@ -290,98 +342,90 @@ def _score_alone(model: Model, filter_):
             for part in slices(texts):
                 t = tokens_of(texts[part])
                 read = lambda h: read_levels(h, field, sizes[(w := bucket_of(h, model.buckets).astype(np.int64))], offsets[w])
-                vocab, higher = model.keys(t)
-                yield _result(ids[part], t, model.score(t, read(vocab), [read(h) for h in higher]))
+                vocab = read(np.append((mix64(t.vocab) & ~_TAG) | np.uint64(1), begin_key()))
+                higher = [read(h) for h in ngrams(t, model.order)[1:]]
+                yield _result(ids[part], t.sizes, model.score(t.sizes, [vocab[t.at], *higher], int(vocab[-1])))
 
     return run
 
 
-def _asked(model: Model):
-    """(part, doc_id, text) of one part -> the keys that it asks for, by shard."""
+def _places(order: int):
+    """(doc_id, text) -> by slice: its documents, and for each token and order the place of its n-gram among the slice's."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        t = tokens_of(table.column("text").to_pylist())
-        vocab, higher = model.keys(t)
-        h = np.unique(np.concatenate([vocab, *higher]))
-        to = bucket_of(h, model.buckets)
-        starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-        ends = np.r_[starts[1:], len(h)]
-        return pa.table({"part": pa.array([key[0].as_py()] * len(starts), pa.int64()), "bucket": pa.array(to[starts].astype(np.int64)), "asked": pa.array([pack(h[s:e], np.ones(e - s, dtype=np.int64)) for s, e in zip(starts, ends)], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slice_, c in _identified(batches, order):
+            at = np.concatenate([*c.at(), np.searchsorted(c.keys, [begin_key()])]).astype("<u4")
+            width = max(1, (len(c.keys).bit_length() + 7) // 8)
+            packed = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+            yield batch_of({"slice": ([slice_], pa.int64()), "ids": ([c.ids], pa.list_(pa.int64())), "sizes": ([c.sizes], pa.list_(pa.int64())), "keys": ([len(c.keys)], pa.int64()), "at": ([packed], pa.binary())})
 
     return run
 
 
-def _answer(asked: pa.Table, shards: pa.Table) -> pa.Table:
-    """What all parts ask one shard -> (part, asked, levels); the shard's field is read once."""
-    if not shards.num_rows:  # nothing of it was ever counted
-        return asked.select(["part", "asked"]).slice(0, 0).append_column("levels", pa.array([], pa.binary()))
-    bits, field = np.uint64(shards.column("bits")[0].as_py()), np.frombuffer(shards.column("field")[0].as_py(), dtype=np.uint8)
-    out = []
-    for a in asked.column("asked"):
-        h = unpack(a.as_py())[0]
-        n = np.zeros(len(h), dtype=np.int64)
-        out.append(read_levels(h, field, n.astype(np.uint64) + bits, n).astype(np.uint8).tobytes())
-    return asked.select(["part", "asked"]).append_column("levels", pa.array(out, pa.binary()))
-
-
 def _score_with(model: Model):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        t = tokens_of(docs.column("text").to_pylist())
-        asked = [unpack(a)[0] for a in answers.column("asked").to_pylist()]
-        got = [np.frombuffer(x, dtype=np.uint8) for x in answers.column("levels").to_pylist()]
-        h, q = (np.concatenate(asked), np.concatenate(got).astype(np.int64)) if asked else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(h)
-        h, q = h[order], q[order]
-        # a shard without n-grams isn't there: nothing of it was ever counted
-        def read(x: np.ndarray) -> np.ndarray:
-            if not len(h):
-                return np.zeros(len(x), dtype=np.int64)
-            at = np.minimum(np.searchsorted(h, x), len(h) - 1)
-            return np.where(h[at] == x, q[at], 0)
-
-        vocab, higher = model.keys(t)
-        return pa.Table.from_batches([_result(docs.column("doc_id").to_pylist(), t, model.score(t, read(vocab), [read(x) for x in higher]))])
+    def run(answers: pa.Table, docs: pa.Table) -> pa.Table:
+        order = np.argsort(answers.column("bucket").to_numpy())
+        got = answers.column("levels").to_pylist()
+        levels = np.frombuffer(b"".join(got[k] for k in order), dtype=np.uint8)
+        out = []
+        for k in range(docs.num_rows):
+            if docs.column("keys")[k].as_py() != len(levels):
+                raise RuntimeError("the documents came in another order when they were read again")
+            ids, sizes = docs.column("ids")[k].as_py(), np.array(docs.column("sizes")[k].as_py(), dtype=np.int64)
+            width = max(1, (len(levels).bit_length() + 7) // 8)
+            at = np.zeros((model.order * int(sizes.sum()) + 1, 4), dtype=np.uint8)
+            at[:, :width] = np.frombuffer(docs.column("at")[k].as_py(), dtype=np.uint8).reshape(-1, width)
+            q = levels[at.view("<u4").ravel()]
+            out.append(_result(ids, sizes, model.score(sizes, np.split(q[:-1], model.order), int(q[-1]))))
+        return pa.Table.from_batches(out) if out else pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log2_prob", pa.float64()), ("perplexity", pa.float64()))})
 
     return run
 
 
-def build_filter(docs: DataFrame, order: int) -> tuple[Model, DataFrame]:
-    """The model's totals, and its filter's shards as a DataFrame in the shared folder."""
-    buckets = shuffle_parts(docs)
-    counted = docs.mapInArrow(_count(order, buckets), "bucket bigint, payload binary")
-    shards = cut(counted.groupBy("bucket").applyInArrow(_shard, SHARD))
-    sums = shards.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
-    return Model(order, buckets, sums["tokens"], sums["words"]), shards
+def repeatable(df: DataFrame) -> DataFrame:
+    """``df``, checkpointed unless its rows come in the same order each time, as they do from files."""
+    return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def _model(order: int, buckets: int, sums: DataFrame) -> Model:
+    totals = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    return Model(order, buckets, totals["tokens"], totals["words"])
 
 
 def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log2_prob and perplexity of each row of ``docs`` under a model of ``train`` (None: docs).
 
-    Tokens are runs of word characters in lower case. All tokens of all rows are counted and scored. Rows whose text
-    is null, empty or without a word have 0 tokens and null scores; null ids are returned as null; repeated rows
-    are counted and scored as often as they come. Other columns are ignored, whatever their names. An empty table
-    gives an empty one; an empty ``train`` gives every token the same probability. A filter of up to
-    ``broadcast_bytes`` is broadcast; beyond, probes meet its shards in groups.
+    Tokens are runs of word characters in lower case. All tokens of all rows are counted and scored, whole texts
+    however long. Rows whose text is null, empty or without a word have 0 tokens and null scores; null ids are
+    returned as null; repeated rows are counted and scored as often as they come; there are no ties. Other columns are
+    ignored, whatever their names. An empty table gives an empty one; an empty ``train`` gives every token the same
+    probability. A filter that can't exceed ``broadcast_bytes``, by the number of characters counted, is
+    broadcast; else shards answer where they are built. Scores don't depend on which.
     """
     own = pick(docs, doc_id=id_col, text=text_col)
     own = own.withColumn("doc_id", own["doc_id"].cast("bigint"))
     base = own if train is None else pick(train, text=text_col).select(F.lit(None).cast("bigint").alias("doc_id"), "text")
-    model, shards = build_filter(base, order)
-    size = shards.agg(F.coalesce(F.sum(F.length("field")), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        rows = shards.select("bucket", "bits", "field").collect()
-        sizes, offsets = np.full(model.buckets, 8, dtype=np.uint64), np.zeros(model.buckets, dtype=np.int64)
+    chars = base.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = max(shuffle_parts(docs), math.ceil(chars / CHARS_PER_SHARD))
+    # a token takes two characters, and an n-gram at most as many entries as it was counted
+    if (chars // 2 + 1) * order * BITS_PER_ENTRY / 8 <= broadcast_bytes:
+        shards = cut(base.mapInArrow(_count(order, buckets), COUNTED).groupBy("bucket").applyInArrow(_shard, SHARD))
+        model = _model(order, buckets, shards)
+        sizes, offsets = np.full(buckets, 8, dtype=np.uint64), np.zeros(buckets, dtype=np.int64)
         raw = bytearray(1)  # a shard without n-grams is 8 bits that aren't set
-        for r in rows:
+        for r in shards.select("bucket", "bits", "field").collect():
             sizes[r["bucket"]], offsets[r["bucket"]] = r["bits"], len(raw)
             raw += r["field"]
-        del rows
         return own.mapInArrow(_score_alone(model, docs.sparkSession.sparkContext.broadcast((bytes(raw), sizes, offsets))), SCORE)
-    parts = max(1, math.ceil(model.tokens / GROUP_TOKENS))
-    parted = own.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    asked = parted.groupBy("part").applyInArrow(_asked(model), "part bigint, bucket bigint, asked binary")
-    answers = asked.groupBy("bucket").cogroup(shards.select("bucket", "bits", "field").groupBy("bucket")).applyInArrow(_answer, "part bigint, asked binary, levels binary")
-    return parted.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score_with(model), SCORE)
+    own = repeatable(own)
+    asked = own.mapInArrow(_count(order, buckets, ask=True, count=train is None), COUNTED)
+    if train is not None:
+        asked = asked.unionByName(base.mapInArrow(_count(order, buckets), COUNTED))
+    answers = written(asked.groupBy("bucket").applyInArrow(_answer, ANSWER), "lm-levels")
+    model = _model(order, buckets, answers)
+    levels = answers.where("slice is not null").select("slice", "bucket", "levels")
+    places = own.mapInArrow(_places(order), "slice bigint, ids array<bigint>, sizes array<bigint>, keys bigint, at binary")
+    return levels.groupBy("slice").cogroup(places.groupBy("slice")).applyInArrow(_score_with(model), SCORE)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -87,11 +87,36 @@ def test_edges(spark, most):
     assert flat[3] == 0.0 or flat[3] < 0
 
 
-def test_a_shard_beyond_the_broadcast_is_sent_once_not_with_every_part(spark, sf, monkeypatch):
-    monkeypatch.setattr(M, "GROUP_TOKENS", 2_000)  # many parts
+def test_beyond_the_broadcast_n_grams_meet_their_shard_once(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     scored = M.lm_scores(docs, broadcast_bytes=0)
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and plan.count("FlatMapCoGroupsInArrow") == 2
+    assert "Join" not in plan and plan.count("FlatMapCoGroupsInArrow") == 1
     key = lambda r: (r.doc_id, r.n_tokens, round(r.log2_prob or 0, 6))
-    assert sorted(map(key, scored.collect())) == sorted(map(key, M.lm_scores(docs).collect()))
+    want = sorted(map(key, M.lm_scores(docs).collect()))
+    assert sorted(map(key, scored.collect())) == want
+    mixed = docs.repartition(7)  # rows that a shuffle brings are fixed first
+    assert sorted(map(key, M.lm_scores(mixed, broadcast_bytes=0).collect())) == want
+
+
+def test_slices_and_shards_of_any_size(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).unionByName(spark.read.parquet(f"{sf}/documents.parquet").limit(40))
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    key = lambda r: (r.doc_id, round(r.log2_prob or 0, 6))
+    rows = M.counted(iter([M.pa.RecordBatch.from_pydict({"doc_id": [t[0] for t in texts], "text": [t[1] for t in texts]})]), 2)
+    whole = list(rows)
+    monkeypatch.setattr(M, "FLUSH", 100)
+    monkeypatch.setattr("tagweave.llm.common.slices.__defaults__", (200,))
+    parts = list(M.counted(iter([M.pa.RecordBatch.from_pydict({"doc_id": [t[0] for t in texts], "text": [t[1] for t in texts]})]), 2))
+    assert len(whole) == 1 and len(parts) > 10
+    h, c = M.merge([(p.keys, p.counts) for p in parts])
+    assert (h == whole[0].keys).all() and (c == whole[0].counts).all() and sum((p.ids for p in parts), []) == whole[0].ids
+    for p in parts:
+        assert all((p.keys[a] == g).all() for a, g in zip(p.at(), p.grams))
+
+
+def test_another_table_s_model(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    train = docs.where("doc_id % 3 = 0")
+    key = lambda r: (r.doc_id, round(r.log2_prob or 0, 6))
+    assert sorted(map(key, M.lm_scores(docs, train).collect())) == sorted(map(key, M.lm_scores(docs, train, broadcast_bytes=0).collect()))
