@@ -1,14 +1,15 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are first made distinct (128-bit hashes, no text is shuffled). Two distinct lines within one edit
-share, for the length M of the shorter, either their first or their last M/2 characters; lines that share
-no such half with any other line can have no partner and emit nothing. All others emit every one-character
-deletion of themselves, and themselves, as hashed keys; equal keys give candidate pairs, whose
-Levenshtein distance is then verified on the texts. The earliest line stays.
+Lines are first made distinct (128-bit hashes, no text is shuffled). Of two distinct lines within k edits the longer
+has one of k + 1 parts of the shorter unchanged, near its place; lines that share no such part with any other line
+can have no partner and emit nothing. All others emit every deletion of up to k of their characters, and themselves,
+as hashed keys; equal keys give candidate pairs, whose Levenshtein distance is then verified on the texts. The
+earliest line stays.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -33,19 +34,24 @@ def blank(line: Column) -> Column:
     return F.regexp_replace(line, r"\s+", "") == ""
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """Hashes of the first and last M/2 characters for M = n - 1 and M = n."""
+def _parts(line: Column, n: Column, edits: int) -> Column:
+    """Hashes of the parts that a line has in common with any line of ``edits`` edits at most (one of them at least).
+
+    The shorter line, of M characters, is cut into edits + 1 parts. In the longer, of M + d, part i is moved by as many
+    characters as edits before it (i at most) and after it (edits - i at most, but for the d) allow.
+    """
     keys = []
-    for less in (1, 0):
-        m = n - F.lit(less)
-        h = F.floor(m / 2).cast("int")
-        keys.append(F.xxhash64(m, F.lit(0), F.substring(line, F.lit(1), h)))
-        keys.append(F.xxhash64(m, F.lit(1), F.substring(line, n - h + 1, h)))
+    for d in range(edits + 1):
+        m = n - F.lit(d)
+        for i in range(edits + 1):
+            begin, end = (F.floor(m * j / (edits + 1)).cast("int") for j in (i, i + 1))
+            for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1):
+                keys.append(F.xxhash64(m, F.lit(i), F.substring(line, begin + shift + 1, end - begin)))
     return F.array(*keys)
 
 
-def deletion_keys(line: str) -> np.ndarray:
-    """Keys of the line and of the line without its i-th character, for all i; each in constant time.
+def deletion_keys(line: str, edits: int = 1) -> np.ndarray:
+    """Keys of the line and of the line without any of up to ``edits`` characters; each in constant time.
 
     The key of a string is the sum of mix(c_j) * BASE**j modulo 2**64, so a deletion divides what follows by BASE.
     """
@@ -56,15 +62,22 @@ def deletion_keys(line: str) -> np.ndarray:
         power[0] = 1
     power = np.multiply.accumulate(power)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * power, dtype=np.uint64)])
-    whole = sums[-1]
-    without = sums[:-1] + (whole - sums[1:]) * np.uint64(INVERSE)
-    return np.unique(np.append(without, whole))
+    keys = [sums[-1:]]
+    for gone in range(1, min(edits, n) + 1):
+        at = np.arange(n)[:, None] if gone == 1 else np.array(list(itertools.combinations(range(n), gone)))
+        key = sums[at[:, 0]]
+        for k in range(gone):
+            inverse = np.uint64(pow(INVERSE, k + 1, 1 << 64))
+            end = sums[at[:, k + 1]] if k + 1 < gone else sums[-1]
+            key = key + (end - sums[at[:, k] + 1]) * inverse
+        keys.append(key)
+    return np.unique(np.concatenate(keys))
 
 
 ENTRY = np.dtype([("key", "<u8"), ("line", "<i8")])
 
 
-def _emit(buckets: int):
+def _emit(buckets: int, edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, lines = b.column(0).to_numpy(), b.column(1).to_pylist()
@@ -72,9 +85,9 @@ def _emit(buckets: int):
             while at < len(ids):  # about a million keys at a time
                 end, size = at, 0
                 while end < len(ids) and (size < 1_000_000 or end == at):
-                    size += len(lines[end]) + 1
+                    size += (len(lines[end]) + 1) ** edits
                     end += 1
-                keys = [deletion_keys(x) for x in lines[at:end]]
+                keys = [deletion_keys(x, edits) for x in lines[at:end]]
                 e = np.empty(sum(map(len, keys)), dtype=ENTRY)
                 e["key"], e["line"] = np.concatenate(keys), np.repeat(ids[at:end], [len(k) for k in keys])
                 to = (e["key"] >> np.uint64(20)) % np.uint64(buckets)
@@ -136,25 +149,25 @@ def _first(doc_id: Column, line_no: Column) -> list[Column]:
     return [doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), line_no.alias("line_no")]
 
 
-def near_lines(base: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier line one edit away."""
-    halves = distinct.where(F.size("f.halves") > 0).select("h1", "h2", F.explode(F.array_distinct("f.halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("half")
-    flagged = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
+def near_lines(base: DataFrame, distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(h1, h2) of the distinct lines that have an earlier line ``edits`` edits away at most."""
+    parts = distinct.where(F.size("f.parts") > 0).select("h1", "h2", F.explode(F.array_distinct("f.parts")).alias("part"))
+    shared = parts.groupBy("part").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("part")
+    flagged = parts.join(shared, "part", "left_semi").select("h1", "h2").distinct()
     wanted = distinct.join(flagged, ["h1", "h2"], "left_semi").groupBy(F.col("f.doc_id").alias("w_id")).agg(F.collect_list(F.struct(F.col("f.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
     some = base.join(wanted.hint("shuffle_hash"), base["doc_id"].eqNullSafe(wanted["w_id"]), "left").where("wanted is not null")
-    lines = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), F.col("wanted.line_no").alias("at"), "wanted")
-    lines = lines.where(F.array_contains("at", F.col("line_no"))).withColumn("h1", F.xxhash64("line"))
-    lines = lines.where(F.exists("wanted", lambda w: (w["line_no"] == F.col("line_no")) & (w["h1"] == F.col("h1"))))
-    lines = lines.select("h1", F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "line_no", "line")
+    # each text is split once, behind a generator, and its wanted lines are taken by their numbers
+    some = some.select("doc_id", "wanted", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
+    some = some.select("doc_id", F.explode(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["line_no"].alias("line_no"), F.get("lines", w["line_no"]).alias("line")))).alias("w"))
+    lines = some.where((F.xxhash64("w.line") == F.col("w.h1")) & (F.xxhash64(F.lit(1), "w.line") == F.col("w.h2"))).select("w.h1", "w.h2", "doc_id", "w.line_no", "w.line")
     lines = cut(lines.dropDuplicates(["h1", "h2"]))
-    total = lines.agg(F.sum(F.length("line") + 1)).first()[0] or 0
-    buckets = max(12, math.ceil(total / KEYS_PER_BUCKET))
-    packed = lines.select("h1", "line").mapInArrow(_emit(buckets), "bucket bigint, entries binary")
+    keys = lines.agg(F.sum(F.pow(F.length("line") + 1.0, F.lit(edits)))).first()[0] or 0
+    buckets = max(12, math.ceil(keys / KEYS_PER_BUCKET))
+    packed = lines.select("h1", "line").mapInArrow(_emit(buckets, edits), "bucket bigint, entries binary")
     pairs = packed.groupBy("bucket").applyInArrow(_match, "a bigint, b bigint").distinct()
     side = lambda x: lines.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.struct(*_first(F.col("doc_id"), F.col("line_no"))).alias(f"{x}_at"), F.col("line").alias(f"{x}_line"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = both.where(F.levenshtein("a_line", "b_line", 1).between(0, 1))
+    near = both.where(F.levenshtein("a_line", "b_line", edits).between(F.lit(0), F.floor(F.least(F.length("a_line"), F.length("b_line")) / max(1, min_chars))))
     later = F.col("a_at") > F.col("b_at")
     return near.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct()
 
@@ -163,21 +176,22 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS,
     """``docs`` with repeated lines taken out of ``text_col``, and two columns more: n_lines and n_dropped.
 
     Lines are in the order of (doc_id, line number), documents without id last. A line goes if an earlier one
-    is equal or, for lines of at least ``min_chars`` characters, one edit away (``max_edits`` 1; 0: equal lines
-    only), whether or not that earlier line itself stays. Lines without a visible character always stay and
-    aren't counted. A null text stays null (0 lines); a document may end with an empty text. Rows that share a
-    doc_id, null included, are versions of one document: equal lines at the same line number in them stay or go
-    together. An empty table gives an empty one. New columns that clash with those of ``docs`` get a ``_`` before.
+    is equal or at most ``max_edits`` characters' edits away, whether or not that earlier line itself stays. The
+    edits are bounded in proportion too: lines of under ``min_chars`` characters for each edit must be nearer, so
+    that ``}`` doesn't take ``{`` away; a line under ``min_chars`` must be equal. Lines without a visible
+    character always stay and aren't counted. Long lines are compared whole. A null text stays null (0 lines); a
+    document may end with an empty text. Rows that share a doc_id, null included, are versions of one document: equal
+    lines at the same line number in them stay or go together, so there are no ties. An empty table gives an empty
+    one. New columns that clash with those of ``docs`` get a ``_`` before. The keys of a line are as many as its
+    length to the power ``max_edits``.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
     base = pick(docs, doc_id=id_col, text=text_col)
     n = F.col("n")
-    halves = F.when(n >= min_chars, _halves(F.col("line"), n)) if max_edits else F.lit(None)
-    halves = F.coalesce(halves, F.array().cast("array<bigint>"))
-    first = F.min(F.struct(*_first(F.col("doc_id"), F.col("line_no")), halves.alias("halves")))
+    parts_of = F.when(n >= min_chars, _parts(F.col("line"), n, max_edits)) if max_edits else F.lit(None)
+    parts_of = F.coalesce(parts_of, F.array().cast("array<bigint>"))
+    first = F.min(F.struct(*_first(F.col("doc_id"), F.col("line_no")), parts_of.alias("parts")))
     distinct = _places(base).groupBy("h1", "h2").agg(first.alias("f"))
-    kept = distinct.join(near_lines(base, distinct), ["h1", "h2"], "left_anti") if max_edits else distinct
+    kept = distinct.join(near_lines(base, distinct, max_edits, min_chars), ["h1", "h2"], "left_anti") if max_edits else distinct
     kept = kept.groupBy(F.col("f.doc_id").alias("k_id")).agg(F.collect_list(F.struct(F.col("f.line_no").alias("at"), F.col("h1").alias("h"))).alias("k"))
     n_lines, n_dropped, k_id, k, parts = fresh(docs, "n_lines", "n_dropped", "k_id", "k", "parts")
     kept = kept.select(F.col("k_id").alias(k_id), F.col("k").alias(k))

@@ -58,6 +58,36 @@ def test_against_brute_force(spark):
     assert got == brute(docs)
 
 
+def test_two_edits_against_brute_force(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcde fghi") for _ in range(rng.choice([8, 12, 19, 20, 21, 33]))) + "x" for _ in range(25)]
+
+    def vary(s):
+        k = rng.randrange(4)
+        p = rng.randrange(len(s))
+        return s if k == 0 else s[:p] + s[p + 1 :] if k == 1 else s[:p] + "é" + s[p:] if k == 2 else s[:p] + "ß" + s[p + 1 :]
+
+    docs = [(i, "\n".join(vary(vary(vary(rng.choice(base)))) for _ in range(5))) for i in range(40)]
+    want, seen = {}, []
+    for i, text in docs:
+        kept = []
+        for line in text.split("\n"):
+            if not any(line == s or edits(line, s) <= min(2, min(len(line), len(s)) // D.MIN_CHARS) for s in seen):
+                kept.append(line)
+            seen.append(line)
+        want[i] = "\n".join(kept)
+    got = {r.doc_id: r.text for r in D.dedup_lines(spark.createDataFrame(docs, "doc_id int, text string"), max_edits=2).collect()}
+    assert got == want
+    for line in ("", "a", "ab", "abcdef"):
+        assert len(D.deletion_keys(line, 2)) == len({"".join(c for k, c in enumerate(line) if k not in (i, j)) for i in range(-1, len(line)) for j in range(-1, len(line))})
+
+
+def test_many_lines_in_a_document(spark):
+    lines = [f"line {k} of a long document" for k in range(30_000)]
+    (r,) = D.dedup_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string")).collect()
+    assert r.n_lines == 30_000 and r.n_dropped > 25_000  # numbers that differ in a digit are one edit apart
+
+
 def test_edges(spark):
     df = spark.createDataFrame(
         [(1, "the same line here\n\nother", "a", 0), (2, "the same lime here", "a", 0), (3, None, "a", 0), (4, "", "b", 0), (None, "the same line here", "b", 0), (5, "x\nx", "b", 0), (5, "x\nx", "b", 0), (6, "long " * 20_000 + "\nlong", "b", 0)],
