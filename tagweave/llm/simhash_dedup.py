@@ -5,8 +5,9 @@ Each document has a fingerprint of four 23-bit segments (SimHash of its set of w
 3 bits of exactly one codeword. A segment gets as keys the message indices of all codewords within 4 bits:
 6 of them if the nearest is 3 bits away, else that one. Two segments that differ in at most 2 bits always
 share a key. Of four segments with at most 8 differing bits at least two differ in at most 2, so two
-fingerprints that near share a key of some *pair* of segments (24 bits). Candidates are verified on all
-bits; groups are connected components.
+fingerprints that near share a key of some *pair* of segments (24 bits). The 92 bits are cut into four segments
+twice, as they come and every fourth, so that pairs further apart have a second chance. Candidates are verified
+on all bits; groups are connected components, of which each key contributes no more links than it has records.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 from .common import batch_of, connected, cut, mix64, pick, slices, words
 
 SEGMENTS, SEGMENT_BITS = 4, 23
-PAIRS = list(itertools.combinations(range(SEGMENTS), 2))
+#: Pairs of segments, of the four in a row and of the four of every fourth bit.
+PAIRS = [(k + i, k + j) for k in (0, SEGMENTS) for i, j in itertools.combinations(range(SEGMENTS), 2)]
+#: Runs of equal keys that are longer are linked by search instead of pair by pair.
+LONG_RUN = 64
 MAX_BITS = 16
 MAX_PAIR_BITS = 21
 ENTRIES_PER_BUCKET = 300_000
@@ -112,8 +116,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments_of(lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Four segments of the bits in a row, then four of every fourth bit."""
     mask = (1 << SEGMENT_BITS) - 1
-    return [lo & mask, lo >> SEGMENT_BITS, hi & mask, hi >> SEGMENT_BITS]
+    every = [np.zeros(len(lo), dtype=np.int64) for _ in range(SEGMENTS)]
+    for k in range(SEGMENTS * SEGMENT_BITS):
+        bit = (lo >> k if k < 46 else hi >> (k - 46)) & 1
+        every[k % SEGMENTS] |= bit << (k // SEGMENTS)
+    return [lo & mask, lo >> SEGMENT_BITS, hi & mask, hi >> SEGMENT_BITS, *every]
 
 
 RECORD = np.dtype([("pair", "u1"), ("key", "<u2"), ("id", "<i8"), ("lo", "<i8"), ("hi", "<i8"), ("pairs", "<i8")])
@@ -177,6 +186,26 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
+def _links(members: np.ndarray, near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join what chains of near(x, y) join among the members, by breadth-first search.
+
+    A member that is reached is compared with those not yet reached only, so a crowd of near ones costs little
+    more than its size.
+    """
+    rest, queue = members, members[:0]
+    while len(rest):
+        if not len(queue):
+            queue, rest = rest[:1], rest[1:]
+            continue
+        step = max(1, 2_000_000 // len(rest))
+        x, queue = queue[:step], queue[step:]
+        hit = near(x[:, None], rest[None, :])
+        reached = hit.any(axis=0)
+        if reached.any():
+            yield x[hit[:, reached].argmax(axis=0)], rest[reached]
+            queue, rest = np.concatenate([queue, rest[reached]]), rest[~reached]
+
+
 def near_pairs(rec: np.ndarray, max_bits: int, max_pair_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of verified pairs among the records of a bucket, as stars."""
     code = golay()
@@ -196,13 +225,23 @@ def near_pairs(rec: np.ndarray, max_bits: int, max_pair_bits: int) -> tuple[np.n
     key, who = np.concatenate(keys), np.concatenate(who)
     order = np.argsort(key, kind="stable")
     key, who = key[order], who[order]
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(lo[x] ^ lo[y]) + np.bitwise_count(hi[x] ^ hi[y]) <= max_bits) & (np.bitwise_count(pairs[x] ^ pairs[y]) <= max_pair_bits)
+
     found = []
+    code_of = lambda x, y: np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y))
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.r_[starts, len(key)])
+    for s, n in zip(starts[sizes > LONG_RUN], sizes[sizes > LONG_RUN]):
+        found += [code_of(x, y) for x, y in _links(np.unique(who[s : s + n]), near)]
+    short = np.repeat(sizes <= LONG_RUN, sizes)
+    key, who = key[short], who[short]
     for i, j in _pairs_in(key):
         x, y = who[i], who[j]
-        near = (np.bitwise_count(lo[x] ^ lo[y]) + np.bitwise_count(hi[x] ^ hi[y]) <= max_bits) & (np.bitwise_count(pairs[x] ^ pairs[y]) <= max_pair_bits)
-        if near.any():
-            x, y = x[near], y[near]
-            found.append(np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y)))
+        ok = near(x, y)
+        if ok.any():
+            found.append(code_of(x[ok], y[ok]))
     if not found:
         return np.array([], dtype=np.int64), np.array([], dtype=np.int64)
     both = np.unique(np.concatenate(found))
@@ -228,14 +267,15 @@ def near_duplicate_groups(docs: DataFrame, max_bits: int = MAX_BITS, max_pair_bi
     """(members, signatures): ``members(doc_id, root)`` has the documents of groups of two and more.
 
     A group is a connected component of pairs that differ in at most ``max_bits`` of the 92 bits of their
-    words and ``max_pair_bits`` of the 64 bits of their word pairs. ``root`` is the least doc_id. Documents
-    without id, text or word are in no group; rows with the same doc_id count as one document.
+    words and ``max_pair_bits`` of the 64 bits of their word pairs. ``root`` is the least doc_id, so there are no
+    ties. Documents without id, text or word are in no group; rows with the same doc_id count as one document.
+    Whole texts are taken, however long. An empty table has no groups.
     """
     sig = cut(signatures(docs, id_col, text_col))
     same = sig.groupBy("lo", "hi", "pairs").agg(F.min("doc_id").alias("rep"))
     n = sig.count()
     spread = 1 << max(0, math.ceil(math.log2(max(1, n * 5.3 / 4096 / ENTRIES_PER_BUCKET))))
-    buckets = max(12, math.ceil(n * 32 * min(spread, 5) / ENTRIES_PER_BUCKET))
+    buckets = max(12, math.ceil(n * 5.3 * len(PAIRS) * min(spread, 5) / ENTRIES_PER_BUCKET))
     packed = same.select(F.col("rep").alias("doc_id"), "lo", "hi", "pairs").mapInArrow(_emit(buckets, spread), "bucket bigint, records binary")
     near = packed.groupBy("bucket").applyInArrow(_verify(max_bits, max_pair_bits), "a bigint, b bigint")
     exact = sig.join(same, ["lo", "hi", "pairs"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -246,8 +286,8 @@ def simhash_survivors(docs: DataFrame, max_bits: int = MAX_BITS, max_pair_bits:
     """``docs`` without near duplicates: of each group the document with the least id stays.
 
     Documents whose id is null, or whose text is null, empty or without a word, always stay. Rows that share
-    a doc_id are one document: they stay or go together. Empty tables give empty results; all columns of
-    ``docs`` are returned as they are.
+    a doc_id are one document: they stay or go together. Texts are fingerprinted whole, however long. Empty
+    tables give empty results; all columns of ``docs`` are returned as they are, whatever their names.
     """
     members, _ = near_duplicate_groups(docs, max_bits, max_pair_bits, id_col, text_col)
     gone = members.where("doc_id <> root").select(F.col("doc_id").alias("gone"))

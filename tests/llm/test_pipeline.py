@@ -27,7 +27,7 @@ def brute_dedup(rows):
 
 
 def brute_near(rows):
-    root = groups([(r["doc_id"], r["text"]) for r in rows], S.MAX_BITS, S.MAX_PAIR_BITS, candidates=True)
+    root = groups([(r["doc_id"], r["text"]) for r in rows], S.MAX_BITS, S.MAX_PAIR_BITS)
     return [r for r in rows if root.get(r["doc_id"], r["doc_id"]) == r["doc_id"]]
 
 
