@@ -26,6 +26,7 @@ SHARD_SLOTS = 256
 TEMPERATURE = 0.7
 SEED = 20240229
 DOCS_PER_BUCKET = 20_000
+SHARDS_PER_SPAN = 4096
 MAX_SOURCES = 1_000_000
 
 
@@ -56,7 +57,7 @@ _pieces: dict[int, re.Pattern] = {}
 
 
 def _cut(block_tokens: int):
-    """(doc_id, source, lang, n, start, text) -> pieces of the blocks that the document lies in."""
+    """(doc_id, source, lang, key, n, copies, start, text) -> pieces of the blocks that the copies of the document lie in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = re.compile(r"\S++\s*+", re.ASCII)  # as Java counts
@@ -64,29 +65,30 @@ def _cut(block_tokens: int):
         for b in batches:
             rows = b.to_pydict()
             doc, text, source, lang, key, block, at, count = [], [], [], [], [], [], [], []
-            for d, s, g, k, n, start, t in zip(*rows.values()):
+            for d, s, g, k, n, copies, first, t in zip(*rows.values()):
                 t = t.strip(SPACE) + "\n"
-                pos, done = 0, 0
-                while done < n:
-                    into = (start + done) % block_tokens
-                    take = min(block_tokens - into, n - done)
-                    if take == n - done:
-                        end = len(t)
-                    elif take == block_tokens:
-                        end = full.match(t, pos).end()
-                    else:
-                        end = pos
-                        for _ in range(take):
-                            end = token.match(t, end).end()
-                    doc.append(d)
-                    text.append(t[pos:end])
-                    source.append(s)
-                    lang.append(g)
-                    key.append(k)
-                    block.append((start + done) // block_tokens)
-                    at.append(into)
-                    count.append(take)
-                    pos, done = end, done + take
+                for start in range(first, first + copies * n, n):
+                    pos, done = 0, 0
+                    while done < n:
+                        into = (start + done) % block_tokens
+                        take = min(block_tokens - into, n - done)
+                        if take == n - done:
+                            end = len(t)
+                        elif take == block_tokens:
+                            end = full.match(t, pos).end()
+                        else:
+                            end = pos
+                            for _ in range(take):
+                                end = token.match(t, end).end()
+                        doc.append(d)
+                        text.append(t[pos:end])
+                        source.append(s)
+                        lang.append(g)
+                        key.append(k)
+                        block.append((start + done) // block_tokens)
+                        at.append(into)
+                        count.append(take)
+                        pos, done = end, done + take
             yield batch_of({"key": (key, pa.int64()), "block": (block, pa.int64()), "at": (at, pa.int32()), "n": (count, pa.int32()), "doc_id": (doc, pa.int64()), "source": (source, pa.string()), "lang": (lang, pa.string()), "piece": (text, pa.string())})
 
     return run
@@ -128,6 +130,18 @@ def _assign(blocks: dict[int, int], slots: int, shard_slots: int, seed: int):
     return run
 
 
+def _before(df: DataFrame, amount: str, key: str, part: str, order: list[str], to: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` of the rows of its key before it, in the order of (part, order).
+
+    Sums within parts, and of the parts before: no task sees more than a part, or the sums of a key's parts.
+    """
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = df.groupBy(key, part).agg(F.sum(amount).alias("_sum"))
+    sums = sums.select(key, part, (F.sum("_sum").over(so_far(Window.partitionBy(key).orderBy(part))) - F.col("_sum")).alias("_base"))
+    inner = F.sum(amount).over(so_far(Window.partitionBy(key, part).orderBy(*order))) - F.col(amount)
+    return df.withColumn("_inner", inner).join(sums, [key, part]).withColumn(to, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, temperature: float = TEMPERATURE, slots: int | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """Blocks in their slots: shard, slot, source, epoch, block, n_tokens, doc_ids, lang, text.
 
@@ -139,16 +153,18 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     only the last block of a source may be shorter. Documents follow each other in an order that hashes of their
     ids fix, with a line break after each. doc_ids and lang (of the first piece) say what a block is made of.
     Documents whose text is null, empty or blank have no token and are in no block; null is a source like any
-    other, and so is a null doc_id an id; rows that are wholly alike count once. Other columns are ignored. An
-    empty table gives an empty one. The table of sources (not of documents) is brought to the driver; beyond
-    ``MAX_SOURCES`` of them ValueError is raised.
+    other, and so is a null doc_id an id; rows that are wholly alike come one after another, as often as the table has
+    them, so there are no ties. Long texts go on through as many blocks as they take. Other columns are ignored,
+    whatever their names. An empty table, or weights that name no source of it, give an empty one. The table of
+    sources (not of documents) is brought to the driver; beyond ``MAX_SOURCES`` of them ValueError is raised.
     """
     spark = docs.sparkSession
     own = pick(docs, doc_id=id_col, source=source_col, lang=lang_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     own = own.withColumns({"key": source_key(F.col("source")), "hash": F.xxhash64("text", F.lit(1), "lang")})
-    counted = own.select("doc_id", "key", "hash", F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n")).where("n > 0").distinct()
-    counted = cut(counted)
-    totals = counted.groupBy("key").agg(F.sum("n").alias("tokens")).limit(MAX_SOURCES + 1).collect()
+    counted = own.select("doc_id", "key", "hash", F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n")).where("n > 0")
+    counted = cut(counted.groupBy("doc_id", "key", "hash", "n").agg(F.count("*").alias("copies")))
+    mass = (F.col("n") * F.col("copies")).alias("mass")
+    totals = counted.groupBy("key").agg(F.sum(mass).alias("tokens")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     totals = sorted((r["key"], r["tokens"]) for r in totals)
@@ -166,21 +182,22 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     # where each document starts in its source: sums within buckets, and of the buckets before
     buckets = max(1, math.ceil(counted.count() / DOCS_PER_BUCKET))
     placed = counted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = placed.groupBy("key", "bucket").agg(F.sum("n").alias("tokens"))
-    sums = sums.select("key", "bucket", (F.sum("tokens").over(before(Window.partitionBy("key").orderBy("bucket"))) - F.col("tokens")).alias("base"))
-    inner = F.sum("n").over(before(Window.partitionBy("key", "bucket").orderBy("doc_id", "hash"))) - F.col("n")
-    starts = placed.withColumn("inner", inner).join(sums, ["key", "bucket"]).select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), F.col("hash").alias("s_hash"), "n", (F.col("base") + F.col("inner")).alias("start"))
+    starts = _before(placed.select("*", mass), "mass", "key", "bucket", ["doc_id", "hash"], "start")
+    starts = starts.select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), F.col("hash").alias("s_hash"), "n", "copies", "start")
 
     at = own.join(starts.hint("shuffle_hash"), own["doc_id"].eqNullSafe(starts["s_id"]) & (own["hash"] == starts["s_hash"]) & (own["key"] == starts["s_key"]))
-    pieces = at.select("doc_id", "source", "lang", "key", "n", "start", "text").mapInArrow(_cut(block_tokens), "key bigint, block bigint, at int, n int, doc_id bigint, source string, lang string, piece string")
-    packed = pieces.groupBy("key", "block").agg(F.array_sort(F.collect_set(F.struct("at", "n", "doc_id", "source", "lang", "piece"))).alias("p"))
+    at = at.select("doc_id", "source", "lang", "key", "n", "copies", "start", "text")
+    if not counted.where("copies > 1").isEmpty():  # one row stands for all that are alike
+        repeated = at.where("copies > 1").groupBy("key", "start").agg(F.first(F.struct(*at.columns)).alias("r")).select("r.*")
+        at = at.where("copies = 1").unionByName(repeated)
+    pieces = at.mapInArrow(_cut(block_tokens), "key bigint, block bigint, at int, n int, doc_id bigint, source string, lang string, piece string")
+    packed = pieces.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("at", "n", "doc_id", "source", "lang", "piece"))).alias("p"))
     packed = packed.select("key", "block", F.col("p.source")[0].alias("source"), F.aggregate("p.n", F.lit(0), lambda a, x: a + x).alias("n_tokens"), F.array_distinct("p.doc_id").alias("doc_ids"), F.col("p.lang")[0].alias("lang"), F.array_join("p.piece", "").alias("text"))
 
     shards = spark.range(-(-slots // shard_slots))
     drawn = shards.mapInPandas(_draw([k for k, _ in totals], w / w.sum(), slots, shard_slots, seed), "shard bigint, key bigint, at bigint, n bigint")
-    drawn = drawn.withColumn("first", F.sum("n").over(before(Window.partitionBy("key").orderBy("shard"))) - F.col("n"))
-    wanted = drawn.mapInPandas(_assign(blocks, slots, shard_slots, seed), "shard bigint, slot bigint, key bigint, epoch bigint, block bigint")
+    drawn = _before(drawn.withColumn("span", F.expr(f"shard div {SHARDS_PER_SPAN}")), "n", "key", "span", ["shard"], "first")
+    wanted = drawn.select("shard", "key", "at", "n", "first").mapInPandas(_assign(blocks, slots, shard_slots, seed), "shard bigint, slot bigint, key bigint, epoch bigint, block bigint")
     return wanted.join(packed.hint("shuffle_hash"), ["key", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "doc_ids", "lang", "text")
 
 
