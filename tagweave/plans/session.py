@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set."""
+    """The checkpoint folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set, on one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return named or sc.getCheckpointDir()
 
