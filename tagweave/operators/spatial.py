@@ -46,16 +46,18 @@ def nearest_box(points: DataFrame, boxes: DataFrame, reach: float = ENDPOINT_REA
 
     Only boxes nearer than ``reach``; of equally near ones the first by ord. Points without any are left out.
     """
+    from ..plans.session import cut
+
     points, boxes = points.select("page", "point", "px", "py"), boxes.select("page", "ord", "x", "y", "w", "h")
+    # boxes round a point are the nearest of all; they meet it without being widened, and their least ord is a plain number
+    holds = F.expr("px between x and x + w and py between y and y + h")
+    inside = cut(grid_pairs(points, boxes, 0, cell).where(holds).groupBy("page", "point").agg(F.min("ord").alias("ord")))
+    # only points outside of all boxes are looked for within reach
+    outside = points.join(inside.select("page", "point"), ["page", "point"], "left_anti")
     dist = box_distance(*[F.col(c) for c in ("x", "y", "w", "h", "px", "py")])
-    near = grid_pairs(points, boxes, reach, cell).select("page", "point", "ord", dist.alias("dist")).where(F.col("dist") < reach)
-    # least distance, and of boxes round the point the first: hash aggregates of plain numbers, no sort of pairs
-    first = near.groupBy("page", "point").agg(F.min("dist").alias("least"), F.min(F.when(F.col("dist") == 0, F.col("ord"))).alias("ord"))
-    inside = first.where("ord is not null").select("page", "point", "ord", F.col("least").alias("dist"))
-    # points outside of all boxes are looked at once more, to find the first of the nearest
-    outside = points.join(first.where("ord is null").select("page", "point", "least"), ["page", "point"])
-    again = grid_pairs(outside, boxes, reach, cell).where(dist == F.col("least"))
-    return inside.unionByName(again.groupBy("page", "point").agg(F.min("ord").alias("ord"), F.min("least").alias("dist")))
+    near = grid_pairs(outside, boxes, reach, cell).select("page", "point", "ord", dist.alias("dist")).where(F.col("dist") < reach)
+    near = near.groupBy("page", "point").agg(F.min(F.struct("dist", "ord")).alias("n")).select("page", "point", "n.ord", "n.dist")
+    return inside.select("page", "point", "ord", F.lit(0.0).alias("dist")).unionByName(near)
 
 
 def segment_edges(segments: DataFrame, boxes: DataFrame, reach: float = ENDPOINT_REACH, cell: int = CELL) -> DataFrame:
@@ -162,7 +164,7 @@ def known_equipment_tags(shapes: DataFrame, words: DataFrame, pages: DataFrame)
     return best.select("page", F.col("shape").alias("ord"), "tag")
 
 
-def clusters(boxes: DataFrame, gap: float = ARC_GAP, cell: float = 32.0, rounds: int = 60) -> DataFrame:
+def clusters(boxes: DataFrame, gap: float = ARC_GAP, cell: float = 32.0) -> DataFrame:
     """(page, ord, root) of boxes(page, ord, x0, y0, x1, y1): single-linkage clusters over gaps of at most ``gap``.
 
     root is the least ord. Near boxes meet by grid cell; labels then spread by hooking each root to the least root
@@ -178,7 +180,7 @@ def clusters(boxes: DataFrame, gap: float = ARC_GAP, cell: float = 32.0, rounds:
     apart = F.expr(f"a.x1 + {gap} < b.x0 or b.x1 + {gap} < a.x0 or a.y1 + {gap} < b.y0 or b.y1 + {gap} < a.y0")
     edges = cut(a.join(b, touch).where(~apart).select("a.page", F.col("a.ord").alias("u"), F.col("b.ord").alias("v")).distinct())
     label = cut(grown.select("page", "ord", F.col("ord").alias("root")))
-    for _ in range(rounds):
+    while True:
         side = lambda node, root: label.select("page", F.col("ord").alias(node), F.col("root").alias(root))
         ends = edges.join(side("u", "ru"), ["page", "u"]).join(side("v", "rv"), ["page", "v"]).where("ru <> rv")
         hook = ends.groupBy("page", F.greatest("ru", "rv").alias("root")).agg(F.min(F.least("ru", "rv")).alias("to"))
@@ -188,7 +190,6 @@ def clusters(boxes: DataFrame, gap: float = ARC_GAP, cell: float = 32.0, rounds:
         label = label.join(hook, ["page", "root"], "left").select("page", "ord", F.coalesce("to", "root").alias("root"))
         up = label.select("page", F.col("ord").alias("root"), F.col("root").alias("top"))
         label = cut(label.join(up, ["page", "root"]).select("page", "ord", F.col("top").alias("root")))
-    raise RuntimeError(f"clusters aren't complete after {rounds} rounds")
 
 
 def coil_regions(arcs: DataFrame, gap: float = ARC_GAP, least: int = MIN_ARCS) -> DataFrame:

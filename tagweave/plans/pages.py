@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import crossref, detectors, graph, spatial, text
 from ..sources import sinks
+from .session import cut
 
 
 class Primitives(NamedTuple):
@@ -131,8 +132,8 @@ def findings(nodes: DataFrame, edges: DataFrame, procedures: DataFrame, headers:
 
 def run(p: Primitives, procedures: DataFrame, headers: DataFrame, folder: str) -> DataFrame:
     """The full run: writes graph and report into ``folder``, returns the findings in order."""
-    nodes, edges = whole_graph(p)
-    found = findings(nodes, edges, procedures, headers)
+    nodes, edges = (cut(x) for x in whole_graph(p))  # each is read by several sinks and kinds of findings
+    found = cut(findings(nodes, edges, procedures, headers))
     sinks.write_graph(nodes, edges, folder)
     sinks.write_report(found, folder)
     return crossref.ordered(found)

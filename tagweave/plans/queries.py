@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..functions.vocabulary import CLASS_WORDS, KEYWORD_TYPES, KIND_TYPES, PREFIX_TYPES
 from ..operators import crossref, datasets, graph, scoring, spatial, text
 from ..sources import sinks
+from .session import cut
 from .views import sql_view, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,7 +123,8 @@ def edge_table(spark: SparkSession, d: str) -> DataFrame:
 def composed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes = graph.label_nodes(symbols(spark, d))
     merged, edges = graph.compose_pages(nodes, graph.label_edges(edge_table(spark, d), nodes))
-    return merged.withColumn("place", F.col("first_page").cast("bigint") * (1 << 40) + F.col("first_ord")), edges
+    # each is read by several kinds of findings
+    return cut(merged.withColumn("place", F.col("first_page").cast("bigint") * (1 << 40) + F.col("first_ord"))), cut(edges)
 
 
 def all_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +241,7 @@ UNION ALL SELECT '[ERROR] (MISSING_IN_PID) SOP references ' || subject || ', but
     ALL,
 )
 def _(spark, d):
-    lines = sinks.findings_log(all_findings(spark, d))
+    lines = sinks.findings_log(cut(all_findings(spark, d)))
     return lines.where("not startswith(value, '[') or startswith(value, '[ERROR] (MISSING_IN_PID)')")
 
 
@@ -464,7 +466,7 @@ def _(spark, d):
     return spatial.not_near(points, equipment).select("page", F.col("point.seg_id").alias("seg_id"), F.col("px").alias("x1"), F.col("py").alias("y1"))
 
 
-_ARCS = "SELECT page, ord, x AS x0, y AS y0, x + 20 AS x1, y + 20 AS y1 FROM sym WHERE ord <= 3000"
+_ARCS = "SELECT page, ord, x AS x0, y AS y0, x + 4 AS x1, y + 4 AS y1, x // 16 AS cx, y // 16 AS cy FROM sym"
 
 
 @query(
@@ -472,11 +474,11 @@ _ARCS = "SELECT page, ord, x AS x0, y AS y0, x + 20 AS x1, y + 20 AS y1 FROM sym
     "SELECT page, root, count(*) AS arcs, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(y0) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(max(y1) AS DOUBLE) AS y1 FROM arcs JOIN (SELECT page, a, min(b) AS root FROM reach GROUP BY page, a) r USING (page) WHERE r.a = arcs.ord GROUP BY page, root HAVING count(*) >= 3",
     "sym",
     f"""/* recursive */ arcs AS ({_ARCS}),
-near AS (SELECT a.page, a.ord AS a, b.ord AS b FROM arcs a JOIN arcs b ON a.page = b.page AND NOT (a.x1 + 6 < b.x0 OR b.x1 + 6 < a.x0 OR a.y1 + 6 < b.y0 OR b.y1 + 6 < a.y0)),
+near AS MATERIALIZED (SELECT a.page, a.ord AS a, b.ord AS b FROM (SELECT *, unnest([-1, 0, 1]) AS dy FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM arcs)) a JOIN arcs b ON a.page = b.page AND a.cx + dx = b.cx AND a.cy + dy = b.cy AND NOT (a.x1 + 6 < b.x0 OR b.x1 + 6 < a.x0 OR a.y1 + 6 < b.y0 OR b.y1 + 6 < a.y0)),
 reach AS (SELECT page, a, b FROM near UNION SELECT r.page, r.a, n.b FROM reach r JOIN near n ON n.page = r.page AND n.a = r.b)""",
 )
 def _(spark, d):
-    arcs = view(spark, d, "sym").where("ord <= 3000").select("page", "ord", F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"), (F.col("x") + 20).cast("double").alias("x1"), (F.col("y") + 20).cast("double").alias("y1"))
+    arcs = view(spark, d, "sym").select("page", "ord", F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"), (F.col("x") + 4).cast("double").alias("x1"), (F.col("y") + 4).cast("double").alias("y1"))
     return spatial.coil_regions(arcs, least=3)
 
 
@@ -564,3 +566,6 @@ def _(spark, d):
     per = events.join(wanted, "event_type").groupBy("user_id").agg(F.count("*").alias("boxes"))
     merged = per.select(F.lit("events").alias("source"), F.concat(F.lit("split"), (F.col("user_id") % 2).cast("string")).alias("split"), F.col("user_id").cast("string").alias("name"), "boxes")
     return datasets.split_stats(merged)
+
+
+from . import drawing_queries  # noqa: E402, F401  (registers its own)
