@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,3 +52,17 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 def split_stats(merged: DataFrame) -> DataFrame:
     """(source, split, images, boxes)."""
     return merged.groupBy("source", "split").agg(F.count_distinct("name").alias("images"), F.sum("boxes").alias("boxes"))
+
+
+class Part(NamedTuple):
+    """A source of a data set: its images(stem, path) and label files(stem, text) by split, and its classes(class_id, new_class)."""
+
+    prefix: str
+    splits: Mapping[str, tuple[DataFrame, DataFrame]]
+    classes: DataFrame
+
+
+def build(parts: Sequence[Part]) -> tuple[DataFrame, DataFrame]:
+    """(merged, stats by source and split) of all parts' splits; ``sinks.write_dataset`` writes the first."""
+    merged = union_all([merged_split(images, box_lines(files), part.classes, part.prefix, split) for part in parts for split, (images, files) in part.splits.items()])
+    return merged, split_stats(merged)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalars as S
 
@@ -89,15 +90,29 @@ def _on_page(label: Column, page: Column) -> Column:
     return F.when(label.startswith("UNLABELED-"), F.concat(F.lit("UNLABELED-P"), page.cast("string"), F.lit("-"), label)).otherwise(label)
 
 
+def is_keyed(df: DataFrame) -> bool:
+    """Whether ``page`` is struct(doc_id, page): pages of several documents, told apart by both."""
+    return isinstance(df.schema["page"].dataType, StructType)
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """A table with a column doc_id, with it packed into ``page``; others as they are."""
+    return df.withColumn("page", F.struct("doc_id", "page")).drop("doc_id") if "doc_id" in df.columns and not is_keyed(df) else df
+
+
 def compose_pages(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One graph of all pages: (nodes, edges).
+    """One graph of all pages, or of all pages of each document: (nodes, edges).
 
     Unlabelled nodes are told apart by page. Nodes of one label are one: the last page's attributes at the first
-    page's place (columns first_page, first_ord).
+    page's place (columns first_page, first_ord). Of keyed pages both tables have doc_id, and nothing is joined
+    across documents.
     """
+    doc = ["doc_id"] if is_keyed(nodes) else []
+    if doc:
+        nodes, edges = (x.select(F.col("page.doc_id").alias("doc_id"), F.col("page.page").alias("page"), *[c for c in x.columns if c != "page"]) for x in (nodes, edges))
     named = nodes.withColumn("label", _on_page(F.col("label"), F.col("page")))
-    rest = [c for c in named.columns if c != "label"]
-    whole = named.groupBy("label").agg(F.max_by(F.struct(*rest), F.struct("page", "ord")).alias("n"), F.min(F.struct("page", "ord")).alias("first"))
-    merged = whole.select("label", "n.*", F.col("first.page").alias("first_page"), F.col("first.ord").alias("first_ord"))
-    ends = edges.select(_on_page(F.col("a"), F.col("page")).alias("a"), _on_page(F.col("b"), F.col("page")).alias("b"))
-    return merged, ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = [c for c in named.columns if c not in ("label", *doc)]
+    whole = named.groupBy(*doc, "label").agg(F.max_by(F.struct(*rest), F.struct("page", "ord")).alias("n"), F.min(F.struct("page", "ord")).alias("first"))
+    merged = whole.select(*doc, "label", "n.*", F.col("first.page").alias("first_page"), F.col("first.ord").alias("first_ord"))
+    ends = edges.select(*doc, _on_page(F.col("a"), F.col("page")).alias("a"), _on_page(F.col("b"), F.col("page")).alias("b"))
+    return merged, ends.select(*doc, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

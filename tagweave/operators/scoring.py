@@ -86,3 +86,12 @@ def box_score(rows: DataFrame) -> DataFrame:
 def numbered(truth: DataFrame) -> DataFrame:
     """truth with gt_id, its order on the page."""
     return truth.withColumn("gt_id", F.row_number().over(Window.partitionBy("page").orderBy("category", "tag", "bbox")))
+
+
+def score(truth: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row, all of a score: coverage (an array by category), tags (tp, fp, fn and rates) and the first missed tags."""
+    coverage = category_coverage(truth, nodes).agg(F.sort_array(F.collect_list(F.struct("category", "ground_truth_count", "detected_count", "coverage_pct"))).alias("coverage"))
+    named = truth.where("tag is not null and tag <> ''")
+    tags = tag_accuracy(named, nodes).select(F.struct("tp", "fp", "fn", "precision", "recall", "f1").alias("tags"))
+    missed = missed_tags(named, nodes).agg(F.sort_array(F.collect_list("tag")).alias("missed"))
+    return coverage.crossJoin(tags).crossJoin(missed)

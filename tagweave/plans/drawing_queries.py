@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.geometry import label_crop
 from ..functions.vocabulary import CLASS_WORDS, COARSE3, EQUIPMENT_PREFIXES, SUBTYPES, TYPE_CLASSES
-from ..operators import datasets, detectors, graph, spatial, text
+from ..operators import datasets, detectors, graph, scoring, spatial, text
 from ..sources import sinks
-from .queries import BOX, NAMED, _case, node_table, query
+from .pages import place
+from .queries import BOX, NAMED, _case, node_table, query, symbols
 from .views import view
 
 
@@ -337,3 +338,67 @@ def _(spark, d):
     nodes = _some_nodes(spark, d)
     lines = sinks.graphml_lines(nodes, nodes.select(F.col("label").alias("a"), F.col("label").alias("b")).limit(0))
     return lines.where("part = 1").select(F.shiftright("place", 40).cast("int").alias("page"), F.col("value").alias("line"))
+
+
+# -- several documents with equal page numbers
+
+
+@query(
+    "documents_graph_nodes",
+    """SELECT doc_id, label, arg_max(page, (page, ord)) AS page, arg_max(ord, (page, ord)) AS ord, max(tag) AS tag, min(page * 1099511627776 + ord) AS place FROM (
+  SELECT doc_id, page, ord, tag, CASE WHEN tag IS NULL THEN 'UNLABELED-P' || page || '-UNLABELED-' || ord WHEN nth = 1 THEN tag ELSE tag || ' (dup ' || nth || ')' END AS label
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, tag ORDER BY ord) AS nth FROM (SELECT *, CASE w % 2 WHEN 0 THEN 'a.pdf' ELSE 'b.pdf' END AS doc_id FROM sym))) GROUP BY doc_id, label""",
+    "sym",
+)
+def _(spark, d):
+    doc = F.when(F.col("bbox.w") % 2 == 0, "a.pdf").otherwise("b.pdf").alias("doc_id")
+    nodes = graph.label_nodes(graph.keyed(symbols(spark, d).select(doc, "*")))
+    none = nodes.select("page", F.col("label").alias("a"), F.col("label").alias("b")).limit(0)
+    return place(graph.compose_pages(nodes, none)[0]).select("doc_id", "label", "page", "ord", "tag", "place")
+
+
+@query(
+    "documents_segment_edges",
+    """SELECT DISTINCT doc_id, page, least(m.ord, n.ord) AS a, greatest(m.ord, n.ord) AS b FROM near1 m JOIN near2 n USING (doc_id, page, seg_id) WHERE m.ord <> n.ord""",
+    "sym seg",
+    """docs AS (SELECT *, CASE w % 2 WHEN 0 THEN 'a.pdf' ELSE 'b.pdf' END AS doc_id FROM sym WHERE ord % 3 = 0),
+segs AS (SELECT *, CASE seg_id % 2 WHEN 0 THEN 'a.pdf' ELSE 'b.pdf' END AS doc_id FROM seg),
+box_cells AS MATERIALIZED (
+  SELECT *, unnest(range(greatest(0, y - 20) // 64, (y + h + 20) // 64 + 1)) AS cy FROM (SELECT *, unnest(range(greatest(0, x - 20) // 64, (x + w + 20) // 64 + 1)) AS cx FROM docs)
+),
+"""
+    + ",\n".join(
+        f"""near{k} AS MATERIALIZED (
+  SELECT doc_id, page, seg_id, arg_min(ord, (dist, ord)) AS ord FROM (
+    SELECT g.doc_id, g.page, g.seg_id, s.ord, sqrt(power(greatest(s.x - g.x{k}, 0, g.x{k} - (s.x + s.w)), 2) + power(greatest(s.y - g.y{k}, 0, g.y{k} - (s.y + s.h)), 2)) AS dist
+    FROM segs g JOIN box_cells s ON s.doc_id = g.doc_id AND s.page = g.page AND s.cx = CAST(floor(g.x{k} / 64) AS BIGINT) AND s.cy = CAST(floor(g.y{k} / 64) AS BIGINT)
+  ) WHERE dist < 20 GROUP BY doc_id, page, seg_id
+)"""
+        for k in (1, 2)
+    ),
+)
+def _(spark, d):
+    two = lambda c: F.when(c % 2 == 0, "a.pdf").otherwise("b.pdf").alias("doc_id")
+    boxes = graph.keyed(view(spark, d, "sym").where("ord % 3 = 0").select(two(F.col("w")), "page", "ord", "x", "y", "w", "h"))
+    segs = graph.keyed(view(spark, d, "seg").select(two(F.col("seg_id")), "*"))
+    return spatial.segment_edges(segs, boxes).select("page.*", "a", "b")
+
+
+_TRUE = "truth AS (SELECT *, CASE kind WHEN 'bowtie' THEN 'valve' WHEN 'circle' THEN 'instrument' ELSE 'equipment' END AS category FROM sym WHERE ord % 50 = 7 AND tag IS NOT NULL)"
+
+
+@query(
+    "score_document",
+    f"""SELECT (SELECT count(*) FROM truth) AS truths, len(coverage) AS categories, tp, fp, fn, missed FROM
+  (SELECT list(category) AS coverage FROM (SELECT DISTINCT category FROM truth)),
+  (SELECT count(*) FILTER (WHERE a.tag IS NOT NULL AND b.tag IS NOT NULL) AS tp, count(*) FILTER (WHERE a.tag IS NULL) AS fp, count(*) FILTER (WHERE b.tag IS NULL) AS fn
+   FROM (SELECT DISTINCT tag FROM truth) a FULL JOIN (SELECT DISTINCT tag FROM sym WHERE tag IS NOT NULL AND ord % 90 = 0) b USING (tag)),
+  (SELECT list(tag ORDER BY tag) AS missed FROM (SELECT DISTINCT tag FROM truth WHERE tag NOT IN (SELECT tag FROM sym WHERE tag IS NOT NULL AND ord % 90 = 0) ORDER BY tag LIMIT 10))""",
+    "sym",
+    _TRUE,
+)
+def _(spark, d):
+    kind = F.when(F.col("kind") == "bowtie", "valve").when(F.col("kind") == "circle", "instrument").otherwise("equipment")
+    truth = view(spark, d, "sym").where("ord % 50 = 7 and tag is not null").withColumn("category", kind)
+    total = F.aggregate("coverage", F.lit(0).cast("bigint"), lambda a, c: a + c["ground_truth_count"])
+    return scoring.score(truth, node_table(spark, d).where("ord % 90 = 0")).select(total.alias("truths"), F.size("coverage").alias("categories"), "tags.tp", "tags.fp", "tags.fn", "missed")

@@ -1,4 +1,7 @@
-"""Page graphs and the full run, from tables of primitives. All pages are one plan, keyed by page."""
+"""Page graphs and the full run, from tables of primitives.
+
+All pages are one plan, keyed by page; tables of several documents have a column doc_id too, and are keyed by both.
+"""
 
 from __future__ import annotations
 
@@ -95,18 +98,25 @@ def page_edges(p: Primitives, shapes: DataFrame) -> DataFrame:
     return graph.fallback_edges(vector, spatial.segment_edges(p.raster_segments, boxes)) if p.raster_segments is not None else vector
 
 
+def by_document(p: Primitives) -> Primitives:
+    """The same tables, with doc_id packed into page where they have one."""
+    return Primitives(*[graph.keyed(x) if isinstance(x, DataFrame) else x for x in p])
+
+
 def page_graphs(p: Primitives) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of each page by itself."""
+    """(nodes, edges) of each page by itself. With doc_id in the tables, page is struct(doc_id, page) in the results."""
+    p = by_document(p)
     shapes = page_shapes(p)
     nodes = graph.label_nodes(tag_shapes(p, shapes))
     return nodes, graph.label_edges(page_edges(p, shapes), nodes)
 
 
-def one_page(p: Primitives, page: int) -> tuple[DataFrame, DataFrame]:
-    """The graph of one page; ValueError if there is no such page."""
-    if p.pages.where(F.col("page") == page).isEmpty():
+def one_page(p: Primitives, page: int, doc_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph of one page (of one document, where tables have doc_id); ValueError if there is no such page."""
+    here = (F.col("page") == page) if doc_id is None else (F.col("page") == page) & (F.col("doc_id") == doc_id)
+    if p.pages.where(here).isEmpty():
         raise ValueError(f"there is no page {page}")
-    only = lambda x: x.where(F.col("page") == page) if isinstance(x, DataFrame) else x
+    only = lambda x: x.where(here) if isinstance(x, DataFrame) else x
     return page_graphs(Primitives(*[only(x) for x in p]))
 
 
@@ -116,7 +126,7 @@ def place(nodes: DataFrame) -> DataFrame:
 
 
 def whole_graph(p: Primitives) -> tuple[DataFrame, DataFrame]:
-    """(nodes with ``place``, edges) of all pages in one."""
+    """(nodes with ``place``, edges) of all pages in one; with doc_id in the tables, of each document's pages in one."""
     nodes, edges = graph.compose_pages(*page_graphs(p))
     return place(nodes), edges
 
@@ -130,10 +140,15 @@ def findings(nodes: DataFrame, edges: DataFrame, procedures: DataFrame, headers:
     return out
 
 
-def run(p: Primitives, procedures: DataFrame, headers: DataFrame, folder: str) -> DataFrame:
-    """The full run: writes graph and report into ``folder``, returns the findings in order."""
-    nodes, edges = (cut(x) for x in whole_graph(p))  # each is read by several sinks and kinds of findings
+def report(nodes: DataFrame, edges: DataFrame, procedures: DataFrame, headers: DataFrame | None, folder: str) -> DataFrame:
+    """Writes a graph and its report into ``folder``, returns the findings in order. Nodes and edges are read often: cut them."""
     found = cut(findings(nodes, edges, procedures, headers))
     sinks.write_graph(nodes, edges, folder)
     sinks.write_report(found, folder)
     return crossref.ordered(found)
+
+
+def run(p: Primitives, procedures: DataFrame, headers: DataFrame, folder: str) -> DataFrame:
+    """The full run, of one document: writes graph and report into ``folder``, returns the findings in order."""
+    nodes, edges = (cut(x) for x in whole_graph(p))
+    return report(nodes, edges, procedures, headers, folder)

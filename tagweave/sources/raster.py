@@ -6,6 +6,7 @@ they emit are primitives; classification, admission and choice between readings
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,7 +57,7 @@ def contours(images: DataFrame) -> DataFrame:
                 found, tree = cv.findContours(cv.morphologyEx(_ink(_gray(png)), op=cv.MORPH_OPEN, kernel=brush), mode=cv.RETR_TREE, method=cv.CHAIN_APPROX_SIMPLE)
                 for k, c in enumerate(found):
                     around = cv.arcLength(c, closed=True)
-                    corners = cv.approxPolyDP(c, epsilon=around / 50, closed=True)
+                    corners = cv.approxPolyDP(c, epsilon=0.02 * around, closed=True)
                     x, y, w, h = cv.boundingRect(c)
                     rows.append((page, k, int(tree[0][k][3]), cv.contourArea(c), around, len(corners), cv.contourArea(cv.convexHull(c)), x, y, w, h))
             yield pd.DataFrame(rows, columns=["page", "idx", "parent", "area", "perimeter", "vertices", "hull_area", "x", "y", "w", "h"])
@@ -77,7 +78,7 @@ def raster_segments(images: DataFrame, shapes: DataFrame, pad: int = 5) -> DataF
                 ink = _ink(_gray(png))
                 for x, y, w, h in inside:
                     ink[max(0, y - pad) : y + h + pad, max(0, x - pad) : x + w + pad] = 0
-                lines = cv.HoughLinesP(ink, rho=1, theta=0.017453292519943295, threshold=40, minLineLength=30, maxLineGap=10)
+                lines = cv.HoughLinesP(ink, rho=1, theta=math.pi / 180, threshold=40, minLineLength=30, maxLineGap=10)
                 rows += [(page, k, *map(float, line.ravel())) for k, line in enumerate(lines if lines is not None else [])]
             yield pd.DataFrame(rows, columns=["page", "seg_id", "x1", "y1", "x2", "y2"])
 

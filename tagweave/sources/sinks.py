@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.scalars import listed
+from ..functions.vocabulary import COARSE3
 from ..operators.crossref import KEYS, severity_counts
 
 _ATTRIBUTES = ("shape_id", "tag", "ocr_raw_text", "symbol_kind", "component_type", "bbox", "tag_confidence")
@@ -80,7 +83,41 @@ def write_score(score: DataFrame, folder: str) -> None:
     write_lines(score.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), folder)
 
 
-def write_dataset(merged: DataFrame, folder: str) -> None:
-    """Labels by split as text files' contents with their names; images stay where they are (``path``)."""
-    merged.write.mode("overwrite").partitionBy("split").parquet(folder)
+def _file_system(path: str):
+    """(file system, path in it) of a path or URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _write(path: str, content: bytes) -> None:
+    system, at = _file_system(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(at) as f:
+        f.write(content)
+
+
+def _files_of(folder: str):
+    """Writes a partition's rows (split, name, path, suffix, labels) as files of a data set."""
+
+    def run(rows: Iterable[Row]) -> None:
+        for r in rows:
+            system, at = _file_system(r["path"])
+            with system.open_input_stream(at) as f:
+                _write(f"{folder}/images/{r['split']}/{r['name']}{r['suffix']}", f.read())
+            _write(f"{folder}/labels/{r['split']}/{r['name']}.txt", (r["labels"] + "\n").encode())
+
+    return run
+
+
+def write_dataset(merged: DataFrame, folder: str, names: Sequence[str] = COARSE3) -> None:
+    """A detection data set: images/<split>/<name>.<suffix>, labels/<split>/<name>.txt and data.yaml.
 
+    merged(split, name, path, labels, ..) has only images with a box, so none is written without. Each task writes
+    the files of its rows, over those that are there, so it may be run again.
+    """
+    suffix = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    merged.select("split", "name", "path", suffix.alias("suffix"), "labels").foreachPartition(_files_of(folder))
+    splits = sorted(r["split"] for r in merged.select("split").distinct().collect())
+    lines = [f"path: {folder}", *[f"{s}: images/{s}" for s in splits], f"nc: {len(names)}", f"names: [{', '.join(names)}]"]
+    _write(f"{folder}/data.yaml", ("\n".join(lines) + "\n").encode())
