@@ -124,16 +124,44 @@ class Automaton:
         return out
 
 
+#: What needn't be written as a percent code, by its code.
+UNRESERVED = {f"{ord(c):02X}": c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"}
+
+
+def _decoded(text: Column) -> Column:
+    """Percent codes of unreserved characters as these, others in upper case; what is no code stays."""
+    table = F.create_map(*[F.lit(x) for kv in UNRESERVED.items() for x in kv])
+
+    def one(part: Column, i: Column) -> Column:
+        code = F.upper(F.substring(part, 1, 2))
+        rest = F.substring(part, 3, 1 << 30)
+        return F.when(i == 0, part).when(~code.rlike("^[0-9A-F]{2}$"), F.concat(F.lit("%"), part)).otherwise(F.concat(F.coalesce(F.try_element_at(table, code), F.concat(F.lit("%"), code)), rest))
+
+    return F.when(text.contains("%"), F.array_join(F.transform(F.split(text, "%"), one), "")).otherwise(text)
+
+
+def _resolved(path: Column) -> Column:
+    """A path without ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    step = lambda acc, x: F.when(x == "..", F.regexp_replace(acc, "/[^/]*$", "")).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x))
+    out = F.aggregate(F.slice(parts, 2, 1 << 30), F.lit(""), step)
+    out = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(out, F.lit("/"))).otherwise(out)
+    return F.when(path.contains("/."), F.when(out == "", "/").otherwise(out)).otherwise(path)
+
+
 def canonical(url: Column) -> Column:
-    """Trimmed; scheme and host in lower case; without user, default port, fragment and ``www.``; ``/`` for no path."""
+    """Trimmed; scheme and host in lower case; without user, default port, fragment, ``www.`` and dots after the host;
+    ``/`` for no path; percent codes of unreserved characters decoded and dot segments resolved; http for no scheme."""
     u = F.regexp_replace(url, r"^\s+|\s+$", "")
     u = F.regexp_replace(u, "#.*$", "")
-    u = F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), u).otherwise(F.concat(F.lit("http://"), u))
+    u = F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), u).when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(F.concat(F.lit("http://"), u))
     head = F.lower(F.regexp_extract(u, "^([^/]*://[^/?]*)", 1))
     rest = F.substring(u, F.length(head) + 1, F.length(u))
-    for pattern, by in (("://[^@]*@", "://"), ("^(http://.*):80$", "$1"), ("^(https://.*):443$", "$1"), (r"://www\.", "://")):
+    for pattern, by in (("://[^@]*@", "://"), ("^(http://.*):80$", "$1"), ("^(https://.*):443$", "$1"), (r"://www\.", "://"), (r"\.+(:[0-9]+)?$", "$1")):
         head = F.regexp_replace(head, pattern, by)
-    return F.concat(head, F.when(rest.startswith("/"), "").otherwise("/"), rest)
+    rest = _decoded(F.concat(F.when(rest.startswith("/"), "").otherwise("/"), rest))
+    path = F.regexp_extract(rest, "^[^?]*", 0)
+    return F.concat(head, _resolved(path), F.substring(rest, F.length(path) + 1, F.length(rest)))
 
 
 def matching_rules(rules: Sequence[Rule]):
@@ -154,7 +182,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str =
     """``pages`` with three columns more: canonical_url, rules (ids of all that match, sorted) and blocked.
 
     A URL is blocked if a block rule matches and no allow rule does. A null URL has null canonical_url and
-    rules and isn't blocked; an empty one is canonically ``http:///``. Repeated rows are judged alike. New
+    rules and isn't blocked; an empty one is canonically ``http:///``. URLs are matched whole, however long. Repeated
+    rows are judged alike; there are no ties, as all rules that match are returned. An empty table gives an empty one. New
     columns that clash with those of ``pages`` get a ``_`` before their names. Rules are a fixed list of the
     caller's, not data: the automaton takes (rules x length) / 8 bytes x 256 on each worker.
     """
@@ -171,17 +200,24 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).select("page_id", "canonical_url", "rules", "blocked")
 
 
+_UNRESERVED = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in UNRESERVED.items()) + "}"
 _RULE_ROWS = ", ".join(f"({r.rule_id}, '{r.action}', '{r.glob}')" for r in RULES)
 OP6_SQL = rf"""
 WITH r(rule_id, action, pat) AS (VALUES {_RULE_ROWS}),
 t AS (SELECT page_id, regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '#.*$', '') AS u FROM pages),
-s AS (SELECT page_id, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN u ELSE 'http://' || u END AS u FROM t),
+s AS (SELECT page_id, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN u WHEN starts_with(u, '//') THEN 'http:' || u ELSE 'http://' || u END AS u FROM t),
 h AS (SELECT page_id, u, regexp_extract(u, '^([^/]*://[^/?]*)', 1) AS head FROM s),
-c AS (
-  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(head), '://[^@]*@', '://'), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1'), '://www\.', '://')
-    || CASE WHEN starts_with(substr(u, length(head) + 1), '/') THEN '' ELSE '/' END || substr(u, length(head) + 1) AS canonical_url
+k AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(head), '://[^@]*@', '://'), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1'), '://www\.', '://'), '\.+(:[0-9]+)?$', '\1') AS head,
+    CASE WHEN starts_with(substr(u, length(head) + 1), '/') THEN '' ELSE '/' END || substr(u, length(head) + 1) AS rest
   FROM h
 ),
+w AS (SELECT page_id, head, list_aggregate(list_transform(string_split(rest, '%'), lambda x, i: CASE WHEN i = 1 THEN x WHEN NOT regexp_matches(upper(x[1:2]), '^[0-9A-F][0-9A-F]$') THEN '%' || x
+    ELSE coalesce({_UNRESERVED}[upper(x[1:2])], '%' || upper(x[1:2])) || x[3:] END), 'string_agg', '') AS rest FROM k),
+q AS (SELECT page_id, head, regexp_extract(rest, '^[^?]*') AS path, substr(rest, length(regexp_extract(rest, '^[^?]*')) + 1) AS query FROM w),
+z AS (SELECT *, list_reduce(list_prepend('', string_split(path, '/')[2:]), lambda a, x: CASE x WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || x END)
+    || CASE WHEN string_split(path, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END AS short FROM q),
+c AS (SELECT page_id, head || CASE WHEN NOT contains(path, '/.') THEN path WHEN short = '' THEN '/' ELSE short END || query AS canonical_url FROM z),
 m AS (SELECT page_id, rule_id, action FROM c JOIN r ON canonical_url GLOB pat),
 g AS (SELECT page_id, list(DISTINCT rule_id ORDER BY rule_id) AS rules, bool_or(action = 'block') AND NOT bool_or(action = 'allow') AS blocked FROM m GROUP BY page_id)
 SELECT c.page_id, c.canonical_url, CASE WHEN c.canonical_url IS NOT NULL THEN coalesce(g.rules, []) END AS rules, coalesce(g.blocked, false) AS blocked

@@ -24,6 +24,24 @@ def test_canonical(spark):
     assert {r.url: r.c for r in df.select("url", U.canonical(F.col("url")).alias("c")).collect()} == cases
 
 
+def test_ways_round_a_rule_are_one_canonical_url(spark):
+    cases = {
+        "//x.org/login": "http://x.org/login", "http://x.org/a/../login": "http://x.org/login", "http://x.org/%6Cogin": "http://x.org/login", "http://x.org./login": "http://x.org/login", "x.org.:8080/p": "http://x.org:8080/p",
+        "http://x.org/./a/./b/.": "http://x.org/a/b/", "http://x.org/../../login": "http://x.org/login", "http://x.org/a/b/..": "http://x.org/a/", "http://x.org/..": "http://x.org/", "http://x.org/a%2fb%zz%4": "http://x.org/a%2Fb%zz%4",
+        "http://x.org/%2e%2E/login?q=%41/../b": "http://x.org/login?q=A/../b", "http://x.org//a/...": "http://x.org//a/...", "//user@WWW.x.org": "http://x.org/", "http://x.org/%C3%a9": "http://x.org/%C3%A9",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "url string")
+    assert {r.url: r.c for r in df.select("url", U.canonical(F.col("url")).alias("c")).collect()} == cases
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table pages (page_id int, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(cases)))
+    assert [r[0] for r in con.sql(f"select canonical_url from ({U.OP6_SQL}) order by page_id").fetchall()] == list(cases.values())
+    blocked = U.filter_urls(df).where("url like '%ogin%'").collect()
+    assert blocked and all(r.blocked for r in blocked if "?" not in r.url)
+
+
 def test_edges(spark):
     rules = [U.Rule(1, "block", "x", "*/login*"), U.Rule(2, "allow", "x", "*good*"), U.Rule(7, "block", "x", "*bad*")]
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "x.org/login", "a"), (3, "x.org/login", "a"), (4, "good.org/login/bad", None), (5, "x.org/" + "a" * 100_000 + "bad", "a"), (None, "x.org", "a")], "page_id int, url string, Rules string")
