@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import SPACE, fresh
 
 MIN_KEPT = 0.5
-#: A line of so many words or more needs a mark of a sentence's end; short lines may be titles.
+#: A line of so many words or more needs a mark of a sentence's end, at its own end or within it, as wrapped lines
+#: break off within a sentence; short lines may be titles.
 LONG_LINE_WORDS = 12
 MAX_REPEAT_RATIO = 0.3
 MAX_SYMBOL_RATIO = 0.1
@@ -23,8 +24,20 @@ MAX_SHOUT_RATIO = 0.5
 END_MARK = r"""([.!?…]["'”’»)\]]*(\s|$)|[。！？]|[:;]\s*$)"""
 SYMBOLS = r"[*&%$#@^~|<>{}\[\]\\=_+•»«]"
 NAVIGATION = r"(^|\S\s+)[|»›•>]\s+\S[^|»›•>]*\s[|»›•>](\s|$)"
-MENU = r"^\s*(home|menu|next|previous|login|log in|sign in|sign up|register|search|contact us|about us|read more|share|back to top|skip to content)\s*$"
-BOILERPLATE = r"(all rights reserved|cookie policy|accept cookies|enable javascript|javascript is (disabled|required)|terms of (use|service)|privacy policy|lorem ipsum|subscribe to our newsletter)"
+_MENU = {
+    "en": "home|menu|next|previous|login|log in|sign in|sign up|register|search|contact us|about us|read more|share|back to top|skip to content",
+    "de": "startseite|menü|weiter|zurück|anmelden|einloggen|registrieren|suche|kontakt|impressum|über uns|mehr lesen|weiterlesen|teilen|nach oben|zum inhalt springen",
+    "fr": "accueil|menu|suivant|précédent|connexion|se connecter|s'inscrire|rechercher|contactez-nous|à propos|lire la suite|partager|haut de page|aller au contenu",
+    "es": "inicio|menú|siguiente|anterior|iniciar sesión|registrarse|buscar|contacto|sobre nosotros|leer más|compartir|volver arriba|ir al contenido",
+}
+MENU = rf"^\s*({'|'.join(_MENU.values())})\s*$"
+_BOILERPLATE = {
+    "en": "all rights reserved|cookie policy|accept cookies|enable javascript|javascript is (disabled|required)|terms of (use|service)|privacy policy|lorem ipsum|subscribe to our newsletter",
+    "de": "alle rechte vorbehalten|cookie-richtlinie|cookies akzeptieren|javascript (aktivieren|ist deaktiviert)|nutzungsbedingungen|datenschutzerklärung|newsletter abonnieren",
+    "fr": "tous droits réservés|politique de cookies|accepter les cookies|activer javascript|conditions (générales )?d'utilisation|politique de confidentialité|abonnez-vous à notre newsletter",
+    "es": "todos los derechos reservados|política de cookies|aceptar cookies|habilitar javascript|(términos|condiciones) de (uso|servicio)|política de privacidad|suscríbete a nuestro boletín",
+}
+BOILERPLATE = f"({'|'.join(_BOILERPLATE.values())})"
 SHOUTED = r"\S*!!+(\s|$)"
 
 RULES = ("punctuation", "repetition", "symbols", "shouting", "navigation", "boilerplate")
@@ -35,7 +48,7 @@ def _count(line: Column, pattern: str) -> Column:
 
 
 def line_words(line: Column) -> Column:
-    return F.split(F.trim(line), r"\s+")
+    return F.split(F.btrim(line, F.lit(SPACE)), r"\s+")
 
 
 def failures(line: Column, words: Column) -> dict[str, Column]:
@@ -67,7 +80,9 @@ def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT, text_col: str = "te
     Two columns more: lines_in and lines_kept, which count lines with a visible character. What a document
     keeps is measured in characters of such lines. Lines without a visible character stay. Documents whose
     text is null, empty or without a visible character are rejected: there is nothing to keep. Null in other
-    columns doesn't matter; repeated rows are judged alike; a new column that clashes gets a ``_`` before its name.
+    columns doesn't matter; repeated rows are judged alike; there are no ties, as rows are judged by themselves.
+    Texts are judged whole, however long. An empty table gives an empty one. A new column that clashes gets a ``_``
+    before its name.
     """
     lines_in, lines_kept, parts, kept = fresh(docs, "lines_in", "lines_kept", "parts", "kept")
     text = docs[f"`{text_col}`"]
@@ -110,7 +125,7 @@ j AS (
       OR {_sql_count(SYMBOLS)} > {MAX_SYMBOL_RATIO} * length(regexp_replace(line, '\\s', '', 'g'))
       OR {_sql_count(SHOUTED)} > {MAX_SHOUT_RATIO} * length(line)
       OR regexp_matches(line, {_q(NAVIGATION)}) OR regexp_matches(lower(line), {_q(MENU)}) OR regexp_matches(lower(line), {_q(BOILERPLATE)})) AS ok
-  FROM (SELECT *, regexp_split_to_array(trim(line), '\\s+') AS w FROM l)
+  FROM (SELECT *, regexp_split_to_array(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+') AS w FROM l)
 ),
 g AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE ok OR blank), '') AS text,

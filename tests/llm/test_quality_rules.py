@@ -20,6 +20,11 @@ def test_rules(spark):
     assert "navigation" in failing(spark, "Home | Products | About | Contact")
     assert failing(spark, "Read more") == {"navigation"}
     assert failing(spark, "All rights reserved.") == {"boilerplate"}
+    for line in ("Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados."):
+        assert failing(spark, line) == {"boilerplate"}
+    for line in ("Startseite", "Lire la suite", " INICIO "):
+        assert failing(spark, line) == {"navigation"}
+    assert failing(spark, "\tone two three four five six seven eight nine ten eleven") == set()  # a tab makes no word
     assert "repetition" in failing(spark, "the the the the the end end end end.")
     assert failing(spark, 'He set token = "abc" and 1 < 2, which is fine here.') == set()
 
