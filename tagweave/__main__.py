@@ -47,8 +47,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--model", help="URL of a vision model that reads tags again which OCR missed")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tagweave").getOrCreate()
-    docx.register(spark)
-    procedures = spark.read.format("procedure_docx").load(args.sop)
+    procedures = docx.procedures(spark, args.sop)
     p, images = primitives(spark.read.format("binaryFile").load(args.pid), args.model)
     nodes, edges = (pages.cut(x) for x in pages.whole_graph(p))
     heads = pages.cut(raster.headers(images).selectExpr("page.page as page", "text"))

@@ -15,15 +15,17 @@ LOOSE_TAG = rf"(?U)\b({TAG}|" + LETTERS + r"\s+" + NUMBER + _LOOP + r"[A-Z]?)\b"
 DASHES = "[-=/—–]"
 TOLERANT_TAG = rf"(?U)\b({LETTERS})" + DASHES + rf"({NUMBER})\b"
 HEADER_PREFIX = rf"(?U)\b({LETTERS})" + DASHES + r"\d"
+STANDING_PREFIX = r"(?U)\b(\w+)(?=" + DASHES + r"[^\n]{0,3}\d)"
 _STATED, _FRACTION = r"M\.?W\.?P\.?|DESIGN", r"(?:\.\d+)?"
-_GAP = r"[:\s]*" + "[^0-9]" + "{0,15}?"
-PRESSURE = f"(?iU)(?:{_STATED}){_GAP}({NUMBER}{_FRACTION})" + r"\s*PSIG"
+_GAP = r"[:\s]*[^0-9]{0,15}?"
+PRESSURE = rf"(?iU)(?:{_STATED}){_GAP}({NUMBER}{_FRACTION})\s*PSIG"
 _DEGREES = r"-?" + LOOP
 TEMPERATURE = rf"(?iUd)({_DEGREES}(?:\s*(?:/|TO)\s*{_DEGREES})?)" + r"\s*.?\s*F\b"
 ROW_TAG = rf"(?U)^({LETTERS}-{NUMBER})"
 _WORDS = "|".join(KEYWORD_TYPES)
 DECLARATION = rf"(?iU)\b(?:({_WORDS})\s+({TAG})|({TAG})\s+\(?({_WORDS})\)?)\b"
-_LINKS = "|".join([r"discharges? (?:in)?to", r"feeds? into", r"connect(?:ed|s)? to", r"flows? (?:from .*? )?" + "to"])
+#: The links that the contract of findings names.
+_LINKS = "|".join([r"discharges? (?:in)?to", r"feeds? into", r"connect(?:ed|s)? to", r"flows? (?:from .*? )?to"])
 CONNECTION = rf"(?iUd)({TAG})\s*(?:{_LINKS})\s*({TAG})"
 FLOAT = r"(?i)^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(inf|infinity|nan)$"
 

@@ -74,13 +74,13 @@ def unresolved(nodes: DataFrame) -> DataFrame:
 def graph_findings(nodes: DataFrame, edges: DataFrame, refs: DataFrame, types: DataFrame, connections: DataFrame) -> DataFrame:
     """All findings between a graph and a procedure. nodes have ``place``, their order."""
     tag = F.col("tag")
-    gone = _finding(missing_in_graph(refs, nodes), "ERROR", "MISSING_IN_PID", 0, _text("SOP references ", tag, ", but no matching component", " was detected in the P&ID."), tag)
-    extra = _finding(missing_in_text(nodes, refs), "INFO", "MISSING_IN_SOP", 1, _text("P&ID component ", tag, " is not referenced", " anywhere in the SOP."), tag)
-    dup = _finding(duplicate_tags(nodes), "WARNING", "DUPLICATE_TAG", 2, _text(F.col("n").cast("string"), " distinct P&ID symbols", " all resolved to tag ", tag, " (", F.col("labels"), ") — likely an OCR/extraction ambiguity,", " or a genuine duplicate tag", " on the drawing; verify manually."), tag)
-    kinds = _finding(type_mismatches(types, nodes), "WARNING", "TYPE_MISMATCH", 3, _text("SOP describes ", tag, " as a ", F.col("declared_type"), ", but the P&ID symbol(s)", " were classified as ", F.col("actual"), "."), tag)
-    links = _finding(connection_mismatches(connections, nodes, edges), "ERROR", "CONNECTION_MISMATCH", 4, _text("SOP states ", F.col("a"), " connects to ", F.col("b"), ", but no such connection", " was detected in the P&ID."), F.col("a"), F.col("b"))
+    gone = _finding(missing_in_graph(refs, nodes), "ERROR", "MISSING_IN_PID", 0, _text("SOP references ", tag, ", but no matching component was detected in the P&ID."), tag)
+    extra = _finding(missing_in_text(nodes, refs), "INFO", "MISSING_IN_SOP", 1, _text("P&ID component ", tag, " is not referenced anywhere in the SOP."), tag)
+    dup = _finding(duplicate_tags(nodes), "WARNING", "DUPLICATE_TAG", 2, _text(F.col("n").cast("string"), " distinct P&ID symbols all resolved to tag ", tag, " (", F.col("labels"), ") — likely an OCR/extraction ambiguity, or a genuine duplicate tag on the drawing; verify manually."), tag)
+    kinds = _finding(type_mismatches(types, nodes), "WARNING", "TYPE_MISMATCH", 3, _text("SOP describes ", tag, " as a ", F.col("declared_type"), ", but the P&ID symbol(s) were classified as ", F.col("actual"), "."), tag)
+    links = _finding(connection_mismatches(connections, nodes, edges), "ERROR", "CONNECTION_MISMATCH", 4, _text("SOP states ", F.col("a"), " connects to ", F.col("b"), ", but no such connection was detected in the P&ID."), F.col("a"), F.col("b"))
     box = S.listed(F.array("bbox.x", "bbox.y", "bbox.w", "bbox.h"))
-    blank = _finding(unresolved(nodes), "WARNING", "UNRESOLVED_TAG", 5, _text("Detected ", S.shown(F.col("symbol_kind")), " symbol at bbox=", box, " could not be OCR-matched", " to a tag (raw text: ", S.quoted(F.col("ocr_raw_text")), ")."), place=F.col("place"))
+    blank = _finding(unresolved(nodes), "WARNING", "UNRESOLVED_TAG", 5, _text("Detected ", S.shown(F.col("symbol_kind")), " symbol at bbox=", box, " could not be OCR-matched to a tag (raw text: ", S.quoted(F.col("ocr_raw_text")), ")."), place=F.col("place"))
     return gone.unionByName(extra).unionByName(dup).unionByName(kinds).unionByName(links).unionByName(blank)
 
 
@@ -115,7 +115,7 @@ def limit_findings(diagram: DataFrame, procedure: DataFrame) -> DataFrame:
     """Design limits that diagram and procedure state differently; they come after the graph's findings, by tag."""
     checked, tag = limit_checks(diagram, procedure), F.col("tag")
     p = _finding(checked.where("not pressure_ok"), "ERROR", "DESIGN_LIMIT_MISMATCH", 0, _text(tag, ": P&ID states design pressure ", S.shown(F.col("design_pressure_psig"), True), " psig, SOP table lists ", F.col("listed"), "."), tag, F.lit("0"), pass_no=1)
-    t = _finding(checked.where("not temperature_ok"), "WARNING", "DESIGN_LIMIT_MISMATCH", 0, _text(tag, ": P&ID states design temperature ", S.shown(F.col("design_temperature_f")), "°F, SOP table lists ", F.col("listed"), " (temperature OCR is lower-confidence", " — verify manually)."), tag, F.lit("1"), pass_no=1)
+    t = _finding(checked.where("not temperature_ok"), "WARNING", "DESIGN_LIMIT_MISMATCH", 0, _text(tag, ": P&ID states design temperature ", S.shown(F.col("design_temperature_f")), "°F, SOP table lists ", F.col("listed"), " (temperature OCR is lower-confidence — verify manually)."), tag, F.lit("1"), pass_no=1)
     return p.unionByName(t)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BOUND_TAG, CONNECTION, DECLARATION, HEADER_PREFIX, PRESSURE, ROW_TAG, TEMPERATURE, first_match, or_null, stripped, to_float
+from ..functions.scalars import BOUND_TAG, CONNECTION, DECLARATION, HEADER_PREFIX, PRESSURE, ROW_TAG, STANDING_PREFIX, TEMPERATURE, first_match, or_null, stripped, to_float
 from ..functions.vocabulary import KEYWORD_TYPES, lookup
 
 
@@ -59,7 +59,8 @@ def title_limits(headers: DataFrame, vocabulary: DataFrame | None = None) -> Dat
     """(tag, design_pressure_psig, design_temperature_f, raw_header) of header texts (page, text).
 
     The i-th prefix from the left goes with the i-th pressure and the i-th temperature; what is missing is null.
-    With a vocabulary(tag) a prefix stands for all its tags; without one, for itself. Later pages win.
+    With a vocabulary(tag) a prefix, a run of word characters, stands for all its tags; without one, for itself. Later
+    pages win.
     """
     text = F.upper(F.col("text"))
     heads = headers.select("page", text.alias("raw_header"))
@@ -68,9 +69,10 @@ def title_limits(headers: DataFrame, vocabulary: DataFrame | None = None) -> Dat
         hits = hits.groupBy("page", "prefix").agg(F.max("i").alias("i")).withColumn("tag", F.col("prefix"))
     else:
         tags = vocabulary.where("tag is not null").select("tag", F.get(F.split("tag", "-"), F.lit(0)).alias("prefix")).distinct()
-        prefixes = tags.select("prefix").distinct().where("prefix <> ''").withColumn("pattern", F.concat(F.lit(r"(?U)\b\Q"), F.col("prefix"), F.lit(r"\E[-=/–—][^\n]{0,3}\d")))
-        at = heads.crossJoin(prefixes).withColumn("at", F.regexp_instr("raw_header", F.col("pattern"))).where("at > 0")
-        order = Window.partitionBy("page").orderBy("at", "prefix")
+        # all prefixes of a header in their order by one pattern; then an equi-join with the vocabulary's
+        seen = heads.select("page", F.posexplode(F.regexp_extract_all("raw_header", F.lit(STANDING_PREFIX), F.lit(1))).alias("at", "prefix"))
+        at = seen.groupBy("page", "prefix").agg(F.min("at").alias("at")).join(tags.select("prefix").distinct(), "prefix")
+        order = Window.partitionBy("page").orderBy("at")
         hits = at.select("page", "prefix", (F.row_number().over(order) - 1).alias("i")).join(tags, "prefix")
     clauses = heads.select("page", "raw_header", *_clauses(F.col("raw_header")))
     found = hits.join(clauses, "page").select("page", "tag", F.struct(F.get("pressures", F.col("i")).alias("design_pressure_psig"), F.get("temperatures", F.col("i")).alias("design_temperature_f"), "raw_header").alias("v"))

@@ -296,8 +296,8 @@ KNOWN = ["F-310", "V-320", "MV-330", "MV-331", "AC-340", "E-350"]
   SELECT page, tag, TRY_CAST(regexp_extract_all(body, '{_RE2_PRESSURE}', 1)[i] AS DOUBLE) AS p,
     regexp_extract_all(body, '{_RE2_TEMPERATURE}', 1)[i] AS t
   FROM (SELECT page, body, prefix, row_number() OVER (PARTITION BY page ORDER BY at_, prefix) AS i FROM (
-    SELECT page, body, prefix, instr(body, regexp_extract(body, '\b' || prefix || '{S.DASHES}' || '[^\n]{{0,3}}' || '\d')) AS at_
-    FROM heads CROSS JOIN (SELECT DISTINCT string_split(tag, '-')[1] AS prefix FROM known) WHERE regexp_matches(body, '\b' || prefix || '{S.DASHES}' || '[^\n]{{0,3}}' || '\d'))) JOIN known ON string_split(tag, '-')[1] = prefix
+    SELECT page, body, prefix, instr(body, regexp_extract(body, '\b' || prefix || '{S.DASHES}[^\n]{{0,3}}\d')) AS at_
+    FROM heads CROSS JOIN (SELECT DISTINCT string_split(tag, '-')[1] AS prefix FROM known) WHERE regexp_matches(body, '\b' || prefix || '{S.DASHES}[^\n]{{0,3}}\d'))) JOIN known ON string_split(tag, '-')[1] = prefix
 ) GROUP BY tag""",
     ctes=f"heads(page, body) AS (VALUES {', '.join(f'({p}, {chr(39)}{t}{chr(39)})' for p, t in HEADERS)}), known(tag) AS (VALUES {', '.join(f'({chr(39)}{t}{chr(39)})' for t in KNOWN)})",
 )

@@ -1,18 +1,21 @@
-"""Procedures in .docx files as a Python data source: ``spark.read.format("procedure_docx").load(path)``.
+"""Procedures in .docx files, a row each: doc_id (its path), full_text, paragraphs, tables.
 
-A .docx file is a zip of XML, which the standard library reads. One file is one partition and one row:
-doc_id (its path), full_text, paragraphs, tables.
+A .docx file is a zip of XML, which the standard library reads. ``procedures`` reads any file system that Spark does;
+the data source ``spark.read.format("procedure_docx").load(path)`` reads paths that every machine has.
 """
 
 from __future__ import annotations
 
 import glob
+import io
 import os
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import SOP_DOCS
@@ -32,9 +35,9 @@ def _text(node: ElementTree.Element) -> str:
     return "".join(out)
 
 
-def parse_docx(path: str) -> tuple[str, list[str], list[list[list[str]]]]:
+def parse_docx(path: str | BinaryIO) -> tuple[str, list[str], list[list[list[str]]]]:
     """(full text, paragraphs, tables): stripped, without blank paragraphs; a merged cell fills all its columns."""
-    if not os.path.exists(path):
+    if isinstance(path, str) and not os.path.exists(path):
         raise FileNotFoundError(f"no procedure at {path}")
     with zipfile.ZipFile(path) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
@@ -87,3 +90,16 @@ class ProcedureDocx(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ProcedureDocx)
+
+
+def procedures(spark: SparkSession, path: str) -> DataFrame:
+    """SOP_DOCS of the .docx files at ``path``, on any file system that Spark reads; ValueError if there are none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+    if files.select("path").isEmpty():
+        raise ValueError(f"no procedure at {path}")
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(name, *parse_docx(io.BytesIO(content))) for name, content in zip(f["path"], f["content"])], columns=["doc_id", "full_text", "paragraphs", "tables"])
+
+    return files.mapInPandas(step, SOP_DOCS)

@@ -69,13 +69,39 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+def _listing(rows: DataFrame, part: int, order: list[str], value: Column) -> DataFrame:
+    """(part, order.., value) of rows as the elements of a JSON list, a line each; a comma before all but the first."""
+    first = rows.agg(F.min(F.struct(*order)).alias("first"))
+    comma = F.when(F.struct(*order) == F.col("first"), "").otherwise(",")
+    return rows.crossJoin(F.broadcast(first)).select(F.lit(part).alias("part"), *order, F.concat(comma, value).alias("value"))
+
+
+def graph_json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, place, label, value): the document of ``graph_json`` in lines, one for each node and edge, so that none outgrows a value."""
+    spark = nodes.sparkSession
+    frame = [(0, '{"directed":false,"multigraph":false,"graph":{},"nodes":['), (2, '],"edges":['), (4, "]}")]
+    lines = spark.createDataFrame([(k, None, None, v) for k, v in frame], "part int, place bigint, label string, value string")
+    node = F.to_json(F.struct(*[(_box(F.col("bbox")) if a == "bbox" else F.col(a)).alias(a) for a in _ATTRIBUTES], F.col("label").alias("id")), {"ignoreNullFields": "false"})
+    ends = edges.select(F.lit(0).cast("bigint").alias("place"), F.to_json(F.struct(F.col("a").alias("source"), F.col("b").alias("target"))).alias("label"))
+    return lines.unionByName(_listing(nodes.withColumn("place", F.col("place").cast("bigint")), 1, ["place", "label"], node)).unionByName(_listing(ends, 3, ["place", "label"], F.col("label")))
+
+
+def findings_json_lines(findings: DataFrame) -> DataFrame:
+    """(part, keys.., message, value): the array of ``findings_json`` in lines, one for each finding."""
+    spark = findings.sparkSession
+    item = F.to_json(F.struct("severity", "category", "message"))
+    rows = _listing(findings, 1, [*KEYS, "message"], item)
+    frame = spark.createDataFrame([(0, "["), (2, "]")], "part int, value string")
+    return rows.unionByName(frame, allowMissingColumns=True)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    write_lines(graph_json(nodes, edges), f"{folder}/graph_json")
+    write_lines(graph_json_lines(nodes, edges).orderBy("part", "place", "label"), f"{folder}/graph_json")
     write_lines(graphml_lines(nodes, edges).orderBy("part", "place", "value"), f"{folder}/graphml")
 
 
 def write_report(findings: DataFrame, folder: str) -> None:
-    write_lines(findings_json(findings), f"{folder}/report_json")
+    write_lines(findings_json_lines(findings).orderBy("part", *KEYS, "message"), f"{folder}/report_json")
     write_lines(findings_log(findings), f"{folder}/report_log")
 
 
