@@ -149,13 +149,31 @@ def _first(doc_id: Column, line_no: Column) -> list[Column]:
     return [doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), line_no.alias("line_no")]
 
 
+def maybe_among(keys: DataFrame, key: str, value: Column) -> Column:
+    """Whether ``value`` may be among the keys: a Bloom filter of one hash, of 16 bits a key and 8 MB at most.
+
+    Beyond four million keys it only lets more through; nothing that is among the keys is ever kept out.
+    """
+    words = 1 << min(20, max(4, math.ceil(math.log2(max(1, keys.count()) / 4))))
+    word = lambda h: F.pmod(h, F.lit(words))
+    bit = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
+    h = F.xxhash64(key)
+    ones = keys.select(word(h).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({key}), 40) & 63 as int))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))
+    every = keys.sparkSession.range(words).join(ones, F.col("id") == F.col("word"), "left").select("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("table")).scalar()
+    h = F.xxhash64(value)
+    return F.getbit(F.get(table, word(h).cast("int")), bit(h)) == 1
+
+
 def near_lines(base: DataFrame, distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line ``edits`` edits away at most."""
-    parts = distinct.where(F.size("f.parts") > 0).select("h1", "h2", F.explode(F.array_distinct("f.parts")).alias("part"))
+    parts = distinct.where(F.size("f.parts") > 0).select("h1", F.explode(F.array_distinct("f.parts")).alias("part"))
     shared = parts.groupBy("part").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("part")
-    flagged = parts.join(shared, "part", "left_semi").select("h1", "h2").distinct()
-    wanted = distinct.join(flagged, ["h1", "h2"], "left_semi").groupBy(F.col("f.doc_id").alias("w_id")).agg(F.collect_list(F.struct(F.col("f.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
-    some = base.join(wanted.hint("shuffle_hash"), base["doc_id"].eqNullSafe(wanted["w_id"]), "left").where("wanted is not null")
+    flagged = parts.join(shared, "part", "left_semi").select("h1").distinct()
+    wanted = distinct.join(flagged, "h1", "left_semi").groupBy(F.col("f.doc_id").alias("w_id")).agg(F.collect_list(F.struct(F.col("f.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
+    wanted = cut(wanted)
+    # of the texts only those with a wanted line are shuffled, but for a few that the filter can't tell from them
+    some = base.where(maybe_among(wanted, "w_id", base["doc_id"])).join(wanted.hint("shuffle_hash"), base["doc_id"].eqNullSafe(wanted["w_id"]), "left").where("wanted is not null")
     # each text is split once, behind a generator, and its wanted lines are taken by their numbers
     some = some.select("doc_id", "wanted", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
     some = some.select("doc_id", F.explode(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["line_no"].alias("line_no"), F.get("lines", w["line_no"]).alias("line")))).alias("w"))

@@ -82,6 +82,15 @@ def test_two_edits_against_brute_force(spark):
         assert len(D.deletion_keys(line, 2)) == len({"".join(c for k, c in enumerate(line) if k not in (i, j)) for i in range(-1, len(line)) for j in range(-1, len(line))})
 
 
+def test_the_filter_keeps_no_key_out(spark):
+    keys = spark.range(0, 5000, 7).selectExpr("case when id = 0 then null else id end as w_id")
+    rows = spark.range(5000).selectExpr("case when id = 0 then null else id end as doc_id")
+    kept = {r.doc_id for r in rows.where(D.maybe_among(keys, "w_id", rows["doc_id"])).collect()}
+    want = {r.w_id for r in keys.collect()}
+    assert want <= kept and len(kept - want) < 0.15 * 5000
+    assert rows.where(D.maybe_among(keys.limit(0), "w_id", rows["doc_id"])).count() == 0
+
+
 def test_many_lines_in_a_document(spark):
     lines = [f"line {k} of a long document" for k in range(30_000)]
     (r,) = D.dedup_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string")).collect()
