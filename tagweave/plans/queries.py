@@ -474,12 +474,12 @@ _ARCS = "SELECT page, ord, x AS x0, y AS y0, x + 4 AS x1, y + 4 AS y1, x // 16 A
     "SELECT page, root, count(*) AS arcs, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(y0) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(max(y1) AS DOUBLE) AS y1 FROM arcs JOIN (SELECT page, a, min(b) AS root FROM reach GROUP BY page, a) r USING (page) WHERE r.a = arcs.ord GROUP BY page, root HAVING count(*) >= 3",
     "sym",
     f"""/* recursive */ arcs AS ({_ARCS}),
-near AS MATERIALIZED (SELECT a.page, a.ord AS a, b.ord AS b FROM (SELECT *, unnest([-1, 0, 1]) AS dy FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM arcs)) a JOIN arcs b ON a.page = b.page AND a.cx + dx = b.cx AND a.cy + dy = b.cy AND NOT (a.x1 + 6 < b.x0 OR b.x1 + 6 < a.x0 OR a.y1 + 6 < b.y0 OR b.y1 + 6 < a.y0)),
+near AS MATERIALIZED (SELECT a.page, a.ord AS a, b.ord AS b FROM (SELECT *, unnest([-1, 0, 1]) AS dy FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM arcs)) a JOIN arcs b ON a.page = b.page AND a.cx + dx = b.cx AND a.cy + dy = b.cy AND NOT (a.x1 + 2 < b.x0 OR b.x1 + 2 < a.x0 OR a.y1 + 2 < b.y0 OR b.y1 + 2 < a.y0)),
 reach AS (SELECT page, a, b FROM near UNION SELECT r.page, r.a, n.b FROM reach r JOIN near n ON n.page = r.page AND n.a = r.b)""",
 )
 def _(spark, d):
     arcs = view(spark, d, "sym").select("page", "ord", F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"), (F.col("x") + 4).cast("double").alias("x1"), (F.col("y") + 4).cast("double").alias("y1"))
-    return spatial.coil_regions(arcs, least=3)
+    return spatial.coil_regions(arcs, gap=2, least=3)
 
 
 # -- scores and data sets
