@@ -429,5 +429,8 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    """All ``documents`` under a model of themselves: doc_id, n_tokens, log2_prob, perplexity."""
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All ``documents`` under a model of themselves: doc_id, n_tokens, log2_prob, perplexity.
+
+    The filter grows with the corpus, so it isn't broadcast here, at any size.
+    """
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), broadcast_bytes=0)
