@@ -59,6 +59,56 @@ def test_counts_travel_unchanged():
     assert one[0][0] == h[0]
 
 
+def brute_of_order(texts, order):
+    """log2 probability of each text with exact counts of 1-grams to order-grams, quantised."""
+    count = Counter()
+    for t in texts:
+        ws = words(t or "")
+        count[("<",)] += bool(ws)
+        padded = ["<"] * (order - 1) + ws
+        for i in range(order - 1, len(padded)):
+            for n in range(1, order + 1):
+                count[tuple(padded[i - n + 1 : i + 1])] += 1
+    tokens = sum(len(words(t or "")) for t in texts)
+    v = sum(len(k) == 1 for k in count) - 1
+    out = []
+    for t in texts:
+        ws, total = words(t or ""), 0.0
+        padded = ["<"] * (order - 1) + ws
+        for i in range(order - 1, len(padded)):
+            p = (level_count(count[padded[i],]) + 1) / (tokens + v + 1)
+            for n in range(2, order + 1):
+                gram = tuple(padded[i - n + 1 : i + 1])
+                # what is before a text is one begin mark
+                history = ("<",) if i == order - 1 else gram[:-1]
+                c = level_count(count[gram])
+                s = max(c - M.DISCOUNT, 0) / max(level_count(count[history]), c, 1)
+                p = s + (1 - s) * M.BACKOFF * p
+            total += math.log2(p)
+        out.append((total, len(ws)))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_orders_against_brute_force(spark, sf, monkeypatch, order):
+    """With a filter so large that nothing missing is found in it, scores are those of exact quantised counts."""
+    monkeypatch.setattr(M, "BITS_PER_ENTRY", 400)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    h = M.counted(iter([M.pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})]), order)
+    (c,) = h
+    bits, field = M.build(c.keys[c.counts > 0], c.counts[c.counts > 0])
+    word = ((c.keys & M._TAG) == 1) & (c.keys != M.begin_key())
+    model = M.Model(order, 1, int(c.counts[word].sum()), int(word.sum()))
+    read = lambda x: M.read_levels(x, np.frombuffer(field, dtype=np.uint8), np.full(len(x), bits, dtype=np.uint64), np.zeros(len(x), dtype=np.int64))
+    logs = model.score(c.sizes, [read(g) for g in c.grams], int(read(np.array([M.begin_key()]))[0]))
+    ends = np.cumsum(c.sizes)
+    got = np.concatenate([[0.0], np.cumsum(logs)])
+    got = got[ends] - got[ends - c.sizes]
+    want = brute_of_order([r[1] for r in rows], order)
+    assert np.allclose(got, [w for w, _ in want], atol=1e-6)
+
+
 @pytest.mark.parametrize("most", [M.BROADCAST_BYTES, 0])
 def test_against_brute_force(spark, sf, most):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
