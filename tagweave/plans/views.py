@@ -46,8 +46,8 @@ FROM {events}""",
   CAST(CASE l_linenumber WHEN 1 THEN 4 WHEN 2 THEN 18 + l_orderkey % 15 WHEN 3 THEN 11 + l_orderkey % 3 WHEN 4 THEN 55 + l_orderkey % 40
     WHEN 5 THEN 38 + l_orderkey % 20 WHEN 6 THEN 1 + l_orderkey % 3 ELSE 1 END AS INT) AS n,
   CAST(CASE WHEN l_orderkey % 4 = 0 THEN 3 ELSE 1 END AS DOUBLE) / 4 AS gap,
-  CAST((l_partkey * 37) % 2300 AS DOUBLE) / 2 AS x0,
-  CAST((l_suppkey * 91 + l_orderkey * 17) % 1500 AS DOUBLE) / 2 AS y0,
+  CAST((l_partkey * 37) % CASE WHEN l_linenumber = 6 AND l_orderkey % 4 = 0 THEN 80 ELSE 2300 END AS DOUBLE) / 2 AS x0,
+  CAST((l_suppkey * 91 + l_orderkey * 17) % CASE WHEN l_linenumber = 6 AND l_orderkey % 4 = 0 THEN 60 ELSE 1500 END AS DOUBLE) / 2 AS y0,
   CAST(CASE l_linenumber WHEN 1 THEN 26 + l_partkey % 17 WHEN 2 THEN 17 + l_partkey % 14 WHEN 3 THEN 8 + l_partkey % 520 WHEN 4 THEN 150 + l_partkey % 120
     WHEN 5 THEN 12 + l_partkey % 36 WHEN 6 THEN 2 + l_partkey % 20 ELSE l_partkey % 900 END AS DOUBLE) / 2 AS wide,
   CAST(CASE l_linenumber WHEN 1 THEN 26 + l_suppkey % 15 WHEN 2 THEN 17 + l_suppkey % 14 WHEN 3 THEN 8 + l_suppkey % 50 WHEN 4 THEN 24 + l_suppkey % 56
