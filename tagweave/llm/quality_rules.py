@@ -7,6 +7,9 @@ built-in functions and one filter: no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +42,24 @@ _BOILERPLATE = {
 }
 BOILERPLATE = f"({'|'.join(_BOILERPLATE.values())})"
 SHOUTED = r"\S*!!+(\s|$)"
+#: The same, tried at a word's start only: every match begins there, and a long word isn't tried at each character.
+_SHOUTED = rf"(?<!\S){SHOUTED}"
+#: What every match of the long patterns holds, found by plain search: the patterns are only tried where it is.
+_BARS = "|»›•>"
+_MENU_WORDS = max(len(x.split()) for items in _MENU.values() for x in items.split("|"))
+_OF_BOILERPLATE = (
+    "cookie|javascript|newsletter|rights reserved|terms of |privacy policy|lorem ipsum|rechte vorbehalten|nutzungsbedingungen|datenschutz|"
+    "droits r|d'utilisation|de confidentialit|derechos reservados|de uso|de servicio|de privacidad|nuestro bolet"
+).split("|")
 
 RULES = ("punctuation", "repetition", "symbols", "shouting", "navigation", "boilerplate")
 
 
+def _holds(line: Column, parts: Iterable[str]) -> Column:
+    """Whether any of ``parts`` is in the line."""
+    return reduce(lambda a, b: a | b, [line.contains(F.lit(x)) for x in parts])
+
+
 def _count(line: Column, pattern: str) -> Column:
     return F.length(line) - F.length(F.regexp_replace(line, pattern, ""))
 
@@ -60,10 +77,10 @@ def failures(line: Column, words: Column) -> dict[str, Column]:
     return {
         "punctuation": (n_words >= LONG_LINE_WORDS) & ~line.rlike(END_MARK),
         "repetition": again > MAX_REPEAT_RATIO * n_words,
-        "symbols": _count(line, SYMBOLS) > MAX_SYMBOL_RATIO * visible,
-        "shouting": _count(line, SHOUTED) > MAX_SHOUT_RATIO * F.length(line),
-        "navigation": line.rlike(NAVIGATION) | low.rlike(MENU),
-        "boilerplate": low.rlike(BOILERPLATE),
+        "symbols": line.rlike(SYMBOLS) & (_count(line, SYMBOLS) > MAX_SYMBOL_RATIO * visible),
+        "shouting": line.contains("!!") & (_count(line, _SHOUTED) > MAX_SHOUT_RATIO * F.length(line)),
+        "navigation": (_holds(line, _BARS) & line.rlike(NAVIGATION)) | ((n_words <= _MENU_WORDS) & low.rlike(MENU)),
+        "boilerplate": _holds(low, _OF_BOILERPLATE) & low.rlike(BOILERPLATE),
     }
 
 
@@ -86,7 +103,7 @@ def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT, text_col: str = "te
     """
     lines_in, lines_kept, parts, kept = fresh(docs, "lines_in", "lines_kept", "parts", "kept")
     text = docs[f"`{text_col}`"]
-    blank = lambda x: F.trim(F.regexp_replace(x, r"\s", "")) == ""
+    blank = lambda x: F.btrim(x, F.lit(SPACE)) == ""
     split = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), blank(x).alias("blank"), line_words(x).alias("words")))
     judge = lambda x: F.struct(x["line"].alias("line"), x["blank"].alias("blank"), (x["blank"] | line_passes(x["line"], x["words"])).alias("ok"))
     # a generator of one row, which Catalyst doesn't push filters through: else lines would be judged twice

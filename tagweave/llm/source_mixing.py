@@ -53,6 +53,26 @@ def source_key(source: Column) -> Column:
     return F.xxhash64(source.isNull(), source)
 
 
+_VISIBLE = np.ones(256, dtype=bool)
+_VISIBLE[list(SPACE.encode())] = False
+
+
+def count_tokens(text: pa.StringScalar) -> int:
+    """Runs of visible characters; a null has none."""
+    raw = text.as_buffer()
+    if raw is None or not raw.size:
+        return 0
+    seen = _VISIBLE[np.frombuffer(raw, dtype=np.uint8)]
+    return int(seen[0]) + int(np.count_nonzero(seen[1:] > seen[:-1]))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, hash, text) -> (doc_id, key, hash, n)."""
+    for b in batches:
+        n = pa.array([count_tokens(t) for t in b.column(3)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], n], names=["doc_id", "key", "hash", "n"])
+
+
 _pieces: dict[int, re.Pattern] = {}
 
 
@@ -161,7 +181,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     spark = docs.sparkSession
     own = pick(docs, doc_id=id_col, source=source_col, lang=lang_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     own = own.withColumns({"key": source_key(F.col("source")), "hash": F.xxhash64("text", F.lit(1), "lang")})
-    counted = own.select("doc_id", "key", "hash", F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n")).where("n > 0")
+    counted = own.select("doc_id", "key", "hash", "text").mapInArrow(_counted, "doc_id bigint, key bigint, hash bigint, n bigint").where("n > 0")
     counted = cut(counted.groupBy("doc_id", "key", "hash", "n").agg(F.count("*").alias("copies")))
     mass = (F.col("n") * F.col("copies")).alias("mass")
     totals = counted.groupBy("key").agg(F.sum(mass).alias("tokens")).limit(MAX_SOURCES + 1).collect()

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from tagweave.llm import quality_rules as Q
@@ -43,3 +45,26 @@ def test_documents(spark):
 def test_no_shuffle_and_one_pass(spark, sf):
     plan = Q.op3(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_a_long_word_is_judged_in_proportion(spark):
+    """Shouting was tried again at each character of a word."""
+    df = spark.createDataFrame([(1, "a" * 300_000), (2, "a" * 300_000 + " b!!"), (3, "b!! c!! d!!")], "doc_id int, text string")
+    began = time.time()
+    assert {r.doc_id for r in Q.clean_lines(df).collect()} == {1, 2}
+    assert time.time() - began < 20
+
+
+def test_plain_search_misses_no_match(spark):
+    """Each entry of the long patterns holds what is searched for before the pattern is tried."""
+    for lang, items in Q._MENU.items():
+        df = spark.createDataFrame([(x,) for x in items.split("|")], "line string")
+        assert df.where(~Q.failures(F.col("line"), Q.line_words(F.col("line")))["navigation"]).collect() == [], lang
+    for a in ("javascript is disabled", "javascript is required", "terms of use", "terms of service", "javascript ist deaktiviert", "conditions d'utilisation", "conditions générales d'utilisation", "términos de uso", "condiciones de servicio", "términos de servicio", "condiciones de uso"):
+        assert "boilerplate" in failing(spark, a.upper()), a
+    plain = [x for items in Q._BOILERPLATE.values() for x in items.split("|") if not set(x) & set("()?")]
+    df = spark.createDataFrame([(x,) for x in plain], "line string")
+    assert df.where(~Q.failures(F.col("line"), Q.line_words(F.col("line")))["boilerplate"]).collect() == []
+    assert "shouting" in failing(spark, "!!") and "shouting" in failing(spark, "x\ty!!! z!!\u0085")
+    for bar in Q._BARS:
+        assert "navigation" in failing(spark, f"Home {bar} Products {bar} About")

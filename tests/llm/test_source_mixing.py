@@ -108,3 +108,10 @@ def test_edges(spark):
     assert sum(r.n_tokens for r in M.mix_sources(df, block_tokens=1000, weights={"long": 1}, slots=30).collect()) == 30_000
     assert M.mix_sources(df.limit(0)).collect() == []
     assert M.mix_sources(df, weights={"nowhere": 1.0}).collect() == []
+
+
+def test_tokens_are_counted_without_patterns(spark, sf):
+    texts = [None, "", " ", "a", " a", "a ", "\u00a0", "a\vb\fc\rd\te\nf  g", "é\u2028ü\u0085 ñ", "x" * 100_000 + " y"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = [r[0] or 0 for r in df.select(F.regexp_count("text", F.lit(r"\S+"))).collect()]
+    assert [M.count_tokens(t) for t in M.pa.array(texts, M.pa.string())] == want
