@@ -133,13 +133,33 @@ def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, counts
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of counts by hash, sorted by hash."""
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum of counts by hash, sorted by hash; and for each hash of the parts, one after another, its place there."""
     h, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(h)
+    order = np.argsort(h, kind="stable")  # parts are sorted runs
     h, c = h[order], c[order]
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=np.int64)
-    return h[starts], np.add.reduceat(c, starts) if len(starts) else c
+    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, dtype=bool)
+    at = np.empty(len(h), dtype=np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    starts = np.flatnonzero(new)
+    return h[starts], np.add.reduceat(c, starts) if len(starts) else c, at
+
+
+def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of counts by hash, sorted by hash."""
+    return merged(parts)[:2]
+
+
+def places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each of ``h`` is in ``keys`` (sorted hashes, of which all of ``h`` are some): by the first bits, then step by step."""
+    bits = max(1, len(keys).bit_length())
+    shift = np.uint64(64 - bits)
+    at = np.concatenate([[0], np.cumsum(np.bincount((keys >> shift).view(np.int64), minlength=1 << bits))])[(h >> shift).view(np.int64)]
+    todo = np.flatnonzero(keys[at] != h)
+    while len(todo):
+        at[todo] += 1
+        todo = todo[keys[at[todo]] != h[todo]]
+    return at
 
 
 class Counted(NamedTuple):
@@ -152,7 +172,7 @@ class Counted(NamedTuple):
     grams: list[np.ndarray]  # by order: the n-gram that ends at each token
 
     def at(self) -> list[np.ndarray]:
-        return [np.searchsorted(self.keys, g) for g in self.grams]
+        return [places(self.keys, g) for g in self.grams]
 
 
 def counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[Counted]:
@@ -266,23 +286,33 @@ def _shard(table: pa.Table) -> pa.Table:
 
 def _built(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, bytes, int, int]:
     """(bits, field) of a shard, and how many distinct words and tokens were counted into it."""
-    h, c = merge(parts)
+    return _filled(*merge(parts))
+
+
+def _filled(h: np.ndarray, c: np.ndarray) -> tuple[int, bytes, int, int]:
     h, c = h[c > 0], c[c > 0]
     word = ((h & _TAG) == 1) & (h != begin_key())
     return *build(h, c), int(word.sum()), int(c[word].sum())
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """All n-grams of a shard -> levels of those that each slice asks for, in their order; and a row of totals."""
+    """All n-grams of a shard -> levels of those that each slice asks for, in their order; and a row of totals.
+
+    Each distinct n-gram is probed once, whatever the number of slices that ask for it.
+    """
     parts = [unpack(b) for b in table.column("payload").to_pylist()]
-    bits, field, words, tokens = _built(parts)
-    field = np.frombuffer(field, dtype=np.uint8)
+    sizes = np.array([len(h) for h, _ in parts], dtype=np.int64)
+    h, counts, at = merged(parts)
+    del parts
+    bits, field, words, tokens = _filled(h, counts)
+    n = np.zeros(len(h), dtype=np.int64)
+    levels = read_levels(h, np.frombuffer(field, dtype=np.uint8), n.astype(np.uint64) + np.uint64(bits), n).astype(np.uint8)[at].tobytes()
+    ends = np.cumsum(sizes).tolist()
     slices_, out = [None], [None]
-    for slice_, (h, _) in zip(table.column("slice").to_pylist(), parts):
+    for slice_, start, end in zip(table.column("slice").to_pylist(), [0, *ends], ends):
         if slice_ is not None:
-            n = np.zeros(len(h), dtype=np.int64)
             slices_.append(slice_)
-            out.append(read_levels(h, field, n.astype(np.uint64) + np.uint64(bits), n).astype(np.uint8).tobytes())
+            out.append(levels[start:end])
     rest = [None] * (len(out) - 1)
     return pa.table({"slice": pa.array(slices_, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int64()), "levels": pa.array(out, pa.binary()), "words": pa.array([words, *rest], pa.int64()), "tokens": pa.array([tokens, *rest], pa.int64())})
 

@@ -170,3 +170,33 @@ def test_another_table_s_model(spark, sf):
     train = docs.where("doc_id % 3 = 0")
     key = lambda r: (r.doc_id, round(r.log2_prob or 0, 6))
     assert sorted(map(key, M.lm_scores(docs, train).collect())) == sorted(map(key, M.lm_scores(docs, train, broadcast_bytes=0).collect()))
+
+
+def test_a_shard_probes_each_n_gram_once(monkeypatch):
+    """However many slices ask for it; what they get is what each would have read by itself."""
+    rng = np.random.default_rng(2)
+    h = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))
+    asked = [np.sort(rng.choice(h, n, replace=False)) for n in (1500, 1, 700, 1500)]
+    counts = [rng.integers(1, 300, len(a)) for a in asked]
+    slices = [7, 8, None, 9]  # one only counts
+    table = M.pa.table({"slice": M.pa.array(slices, M.pa.int64()), "bucket": M.pa.array([3] * 4, M.pa.int64()), "payload": M.pa.array([M.pack(a, c) for a, c in zip(asked, counts)], M.pa.binary())})
+    probed, read = [], M.read_levels
+    monkeypatch.setattr(M, "read_levels", lambda h, *rest: probed.append(len(h)) or read(h, *rest))
+    got = {r["slice"]: r for r in M._answer(table).to_pylist()}
+    assert sum(probed) == len(np.unique(np.concatenate(asked)))
+    bits, field, n_words, tokens = M._built(list(zip(asked, counts)))
+    assert (got[None]["words"], got[None]["tokens"]) == (n_words, tokens) and set(got) == {None, 7, 8, 9}
+    for s, a in zip(slices, asked):
+        n = np.zeros(len(a), dtype=np.int64)
+        if s is not None:
+            assert got[s]["levels"] == read(a, np.frombuffer(field, dtype=np.uint8), n.astype(np.uint64) + np.uint64(bits), n).astype(np.uint8).tobytes()
+
+
+def test_places_are_those_of_a_search():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 1000):
+        for most in (n, 1 << 20, (1 << 64) - 1):  # close together, too
+            keys = np.unique(rng.integers(0, most, n, dtype=np.uint64, endpoint=True))
+            h = rng.choice(keys, 3 * n)
+            assert (M.places(keys, h) == np.searchsorted(keys, h)).all()
+    assert len(M.places(keys, keys[:0])) == 0
