@@ -1,12 +1,13 @@
 """Steps that must not hold a whole page, or all pairs of a dense one."""
 
+import math
 import random
 import time
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tagweave.operators import graph
+from tagweave.operators import graph, spatial
 from tagweave.operators.numbering import number_rows
 from tagweave.plans.views import view
 
@@ -46,3 +47,27 @@ def test_symbols_without_a_tag_are_in_several_tasks(spark):
     most, tasks = spread_over(spark, nodes.select("label", "ord"))
     assert tasks > 4 and most < 2500
     assert {r.label for r in nodes.where("ord % 1000 = 0 or ord = 7").collect()} == {"P-1", "P-1 (dup 2)", "P-1 (dup 3)", "P-1 (dup 4)", "P-1 (dup 5)", "UNLABELED-7"}
+
+
+def test_nearest_of_boxes_upon_each_other(spark):
+    """100,000 points in 100,000 boxes: all pairs would be ten billion."""
+    n = 100_000
+    boxes = spark.range(n).selectExpr("0 as page", "(id * 7919 + 13) % 100000 as ord", "cast(id % 40 as int) as x", "cast(id % 37 as int) as y", "100 as w", "100 as h")
+    points = spark.range(n).selectExpr("0 as page", "id as point", "cast(id % 150 as double) as px", "cast(id % 149 as double) as py")
+    begin = time.time()
+    got = {r.point: (r.ord, r.dist) for r in spatial.nearest_box(points, boxes).where("point < 3000").collect()}
+    assert time.time() - begin < 120
+    least = {}
+    for r in boxes.groupBy("x", "y").agg(F.min("ord").alias("ord")).collect():
+        least[r.x, r.y] = r.ord
+    for k in range(0, 3000, 97):
+        px, py = k % 150, k % 149
+        dist = {xy: math.hypot(max(xy[0] - px, 0, px - xy[0] - 100), max(xy[1] - py, 0, py - xy[1] - 100)) for xy in least}
+        best = min((d, least[xy]) for xy, d in dist.items())
+        assert got.get(k) == ((best[1], best[0]) if best[0] < 20 else None)
+
+
+def test_a_point_at_several_places_has_the_nearest_of_all(spark):
+    points = spark.createDataFrame([(0, 1, 5.0, 5.0), (0, 1, 105.0, 5.0), (0, 2, 105.0, 5.0), (0, 2, 212.0, 5.0), (0, 3, 215.0, 5.0)], "page int, point int, px double, py double")
+    boxes = spark.createDataFrame([(0, 9, 0, 0, 10, 10), (0, 4, 100, 0, 10, 10), (0, 1, 200, 0, 10, 10)], "page int, ord int, x int, y int, w int, h int")
+    assert {(r.point, r.ord, r.dist) for r in spatial.nearest_box(points, boxes).collect()} == {(1, 4, 0.0), (2, 4, 0.0), (3, 1, 5.0)}
