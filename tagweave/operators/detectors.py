@@ -27,7 +27,8 @@ def strokes(drawings: DataFrame) -> DataFrame:
 
 
 def _only(op: str) -> Column:
-    return (F.size("items") > 0) & F.forall("items", lambda i: i["op"] == op)
+    """Whether all items are of one kind, where there are any."""
+    return F.forall("items", lambda i: i["op"] == op)
 
 
 def _solid() -> Column:
@@ -46,6 +47,13 @@ def closed_loop(items: Column) -> Column:
     return F.coalesce((F.size(items) > 0) & F.forall(items, lambda i: i["op"] == "c") & near, F.lit(False))
 
 
+# Sides are tested before items, which are long and may have to be made first; of items the number once, then each.
+
+
+def _count(*spans: tuple[int, int]) -> Column:
+    return F.col("n").isin([k for low, high in spans for k in range(low, high + 1)])
+
+
 def is_bubble() -> Column:
     size = F.lit(False)
     for low, high in BUBBLE_SIDES:
@@ -54,22 +62,22 @@ def is_bubble() -> Column:
 
 
 def is_bowtie() -> Column:
-    return _only("l") & F.col("n").between(20, 30) & _squarish() & F.col("wide").between(9.0, 14.0) & F.col("high").between(9.0, 14.0)
+    return _squarish() & F.col("wide").between(9.0, 14.0) & F.col("high").between(9.0, 14.0) & _count((20, 30)) & _only("l")
 
 
 def is_inline_valve() -> Column:
-    return _only("l") & (F.col("n") == 12) & _solid() & F.col("long").between(15.0, 250.0) & F.col("short").between(5.0, 25.0)
+    return _solid() & F.col("long").between(15.0, 250.0) & F.col("short").between(5.0, 25.0) & _count((12, 12)) & _only("l")
 
 
 def is_vessel() -> Column:
     out = F.lit(False)
     for n, wide, high in VESSELS:
-        out = out | (F.col("n").between(*n) & F.col("wide").between(*wide) & F.col("high").between(*high))
-    return _only("l") & _solid() & out
+        out = out | (F.col("wide").between(*wide) & F.col("high").between(*high) & _count(n) & _only("l"))
+    return _solid() & out
 
 
 def is_coil_arc() -> Column:
-    return _only("c") & (F.col("n") == 2) & _solid() & F.col("short").between(1.5, 10.0) & F.col("long").between(1.5, 30.0)
+    return _solid() & F.col("short").between(1.5, 10.0) & F.col("long").between(1.5, 30.0) & _count((2, 2)) & _only("c")
 
 
 def _shapes(drawings: DataFrame, pages: DataFrame, test: Column, kind: str) -> DataFrame:
