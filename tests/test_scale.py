@@ -7,7 +7,7 @@ import time
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tagweave.operators import graph, spatial
+from tagweave.operators import detectors, graph, spatial
 from tagweave.operators.numbering import number_rows
 from tagweave.plans.views import view
 
@@ -71,3 +71,38 @@ def test_a_point_at_several_places_has_the_nearest_of_all(spark):
     points = spark.createDataFrame([(0, 1, 5.0, 5.0), (0, 1, 105.0, 5.0), (0, 2, 105.0, 5.0), (0, 2, 212.0, 5.0), (0, 3, 215.0, 5.0)], "page int, point int, px double, py double")
     boxes = spark.createDataFrame([(0, 9, 0, 0, 10, 10), (0, 4, 100, 0, 10, 10), (0, 1, 200, 0, 10, 10)], "page int, ord int, x int, y int, w int, h int")
     assert {(r.point, r.ord, r.dist) for r in spatial.nearest_box(points, boxes).collect()} == {(1, 4, 0.0), (2, 4, 0.0), (3, 1, 5.0)}
+
+
+def test_clusters_of_boxes_upon_each_other(spark):
+    """150,000 boxes on a small place have ten billion near pairs; those in a row far off are apart or not by their gap alone."""
+    n = 150_000
+    dense = spark.range(n).selectExpr("0 as page", "id as ord", "cast(id % 90 as double) as x0", "cast(id % 70 as double) as y0", "cast(id % 90 + 4 + id % 3 as double) as x1", "cast(id % 70 + 5 as double) as y1")
+    row = spark.createDataFrame([(0, n + k, 1000.0 + 8 * k, 0.0, 1004.0 + 8 * k - (k == 5), 4.0) for k in range(9)], dense.schema)
+    begin = time.time()
+    got = sorted((r.root, r.arcs, r.x0, r.y0, r.x1, r.y1) for r in spatial.coil_regions(dense.unionByName(row), 4.0, 1).collect())
+    assert time.time() - begin < 120
+    assert got == [(0, n, 0.0, 0.0, 95.0, 74.0), (n, 6, 1000.0, 0.0, 1043.0, 4.0), (n + 6, 3, 1048.0, 0.0, 1068.0, 4.0)]
+
+
+def test_clusters_that_meet_at_corners(spark):
+    rng = random.Random(9)
+    boxes = [(p, k, x := rng.randrange(60), y := rng.randrange(60), x + rng.choice([2, 3, 9]), y + rng.choice([2, 3, 9])) for p in range(12) for k in range(5 + 5 * p)]
+    root = {b[:2]: b[1] for b in boxes}
+    for _ in boxes:  # the least number spreads until none changes
+        old = dict(root)
+        for a in boxes:
+            for b in boxes:
+                if a[0] == b[0] and not (a[4] + 2 < b[2] or b[4] + 2 < a[2] or a[5] + 2 < b[3] or b[5] + 2 < a[3]):
+                    root[a[:2]] = min(root[a[:2]], root[b[:2]])
+        if old == root:
+            break
+    df = spark.createDataFrame([(*b[:2], *map(float, b[2:])) for b in boxes], "page int, ord int, x0 double, y0 double, x1 double, y1 double")
+    assert {(r.page, r.ord): r.root for r in spatial.clusters(df, 2.0).collect()} == root
+
+
+def test_detectors_test_sides_before_items(spark):
+    """Items of drawings whose sides don't fit aren't looked at: here they would fail."""
+    df = spark.range(9).selectExpr("0 as page", "id as draw_id", "'s' as type", "array(struct(if(id >= 0, raise_error('items'), 'l') as op, array(struct(1d as x, 1d as y)) as pts)) as items", "struct(0d as x0, 0d as y0, 400d as x1, 3d as y1) as rect")
+    pages = spark.createDataFrame([(0, 72, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))], "page int, dpi int, matrix struct<a double, b double, c double, d double, e double, f double>")
+    for kind in (detectors.circles, detectors.valves, detectors.vessels):
+        assert kind(df, pages).collect() == []
