@@ -7,10 +7,13 @@ import time
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tagweave.operators import detectors, graph, spatial
+from tagweave.operators import detectors, graph, scoring, spatial
 from tagweave.operators.numbering import number_rows
+from tagweave.plans import queries as core
 from tagweave.plans.views import view
 
+from .helpers import oracle_rows, rows_of
+
 
 def spread_over(spark, df):
     """Rows of the largest and number of the non-empty tasks of 16."""
@@ -106,3 +109,34 @@ def test_detectors_test_sides_before_items(spark):
     pages = spark.createDataFrame([(0, 72, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))], "page int, dpi int, matrix struct<a double, b double, c double, d double, e double, f double>")
     for kind in (detectors.circles, detectors.valves, detectors.vessels):
         assert kind(df, pages).collect() == []
+
+
+def test_merged_shapes_of_a_page_are_in_several_tasks(spark):
+    some = spark.range(40_000).select(F.lit(0).alias("page"), F.col("id").alias("ord"), F.lit("x").alias("kind"), F.expr("struct(1 as x, 1 as y, 1 as w, 1 as h)").alias("bbox"))
+    merged = graph.merge_shapes({"circle": some.where("ord % 2 = 0"), "vessel": some.where("ord % 2 = 1")})
+    most, tasks = spread_over(spark, merged)
+    assert tasks > 4 and most < 20_000
+    got = {r.shape_id: r.source for r in merged.collect()}
+    assert sorted(got) == list(range(40_000)) and got[19_999] == "circle" and got[20_000] == "vessel"
+
+
+def test_nearest_detections_among_many(spark):
+    """60,000 of each on one place: all within reach would be over three billion pairs."""
+    n = 60_000
+    at = "struct(cast(id % 251 as int) as x, cast(id % 239 as int) as y, 4 as w, 4 as h)"
+    truth = spark.range(n).selectExpr("id as gt_id", "0 as page", "'valve' as category", f"{at} as bbox")
+    nodes = spark.range(n).selectExpr("0 as page", "id as ord", "'gate_valve' as component_type", f"{at} as bbox").where("ord % 11 > 0 and bbox.x > 9")
+    begin = time.time()
+    got = {r.gt_id: (r.nearest_center_distance_px, r.iou) for r in scoring.nearest_detections(truth, nodes, 120.0).collect()}
+    assert time.time() - begin < 120 and len(got) == n
+    places = {(k % 251, k % 239) for k in range(n) if k % 11 and k % 251 > 9}
+    for k in range(0, n, 1999):
+        best = min(math.hypot(x - k % 251, y - k % 239) for x, y in places)
+        assert got[k][0] == round(best, 1) and (got[k][1] == 1.0) == (best == 0)
+
+
+def test_score_document_without_a_missed_tag_equals_its_sql(spark, tmp_path):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_partkey % 200 = 7 and l_suppkey % 6 = 0").limit(1)
+    lines.crossJoin(spark.range(600).select(F.col("id"))).withColumn("l_orderkey", F.lit(3).cast("bigint")).drop("id").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = rows_of(core.QUERIES["score_document"](spark, str(tmp_path)))
+    assert got == oracle_rows(core.ORACLE_SQL["score_document"], str(tmp_path)) and got[0].count(None) == 1
